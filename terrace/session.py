@@ -25,19 +25,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the cluster's shared checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate files: ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is unset and Spark runs
-    on this machine alone is a temporary folder used.
+    Only where that is unset and Spark runs on this machine alone is a temporary folder used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="terrace-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared folder, so that later jobs start from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="terrace-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
