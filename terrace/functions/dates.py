@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrace.functions.text import strip
+from terrace.functions.text import let, strip
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH_WORD = (
@@ -19,6 +19,15 @@ _MONTH = r"(0?[1-9]|1[0-2])"
 _END = r"(?=$|[T ,])"
 
 
+# What every date starts with: digits and a digit or month, a month and a digit, or bare digits.
+_NAMES = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_LOOKS = (
+    r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+    rf"(?:\d{{1,4}}(?:st|nd|rd|th)?(?:[-/., ]+(?:\d|{_NAMES})|{_NAMES})"
+    rf"|{_NAMES}[a-z]*[-/., ]*\d|\d{{8}}(?!\d)|\d{{4}}$)"
+)
+
+
 def _in_turn(value: Column, *steps: tuple[str, str]) -> Column:
     for pattern, replacement in steps:
         value = F.regexp_replace(value, pattern, replacement)
@@ -55,11 +64,16 @@ def parse_date(text: Column, day_first: bool = True) -> Column:
 
     The first matching family rewrites the value in year-month-day order; Spark's own cast reads it.
     """
-    value = strip(text)
+    return let(strip(text), lambda value: date_in(value, day_first))
+
+
+def date_in(value: Column, day_first: bool = True) -> Column:
+    """``parse_date`` for text that is already stripped and computed."""
     sides = [(rf"{_DAY}[-/. ]{_MONTH}", "$2-$1"), (rf"{_MONTH}[-/. ]{_DAY}", "$1-$2")]
     if not day_first:
         sides.reverse()
-    ordered = F.when(value.rlike(r"^\d{4}-\d\d?-\d\d?(?![^T ])"), value)
+    ordered = F.when(~value.rlike(_LOOKS), F.lit(None))
+    ordered = ordered.when(value.rlike(r"^\d{4}-\d\d?-\d\d?(?![^T ])"), value)
     for pair, order in sides:
         pattern = rf"^{pair}[-/. ](\d{{4}}){_END}"
         ordered = ordered.when(value.rlike(pattern), F.regexp_replace(value, pattern, f"$3-{order}"))
@@ -77,14 +91,14 @@ def parse_date(text: Column, day_first: bool = True) -> Column:
             (r"^(\d{4})$", "$1-01-01"),
         )
     )
-    spaced = F.regexp_replace(ordered, r"(?<=-\d{1,2})[T ,]+(?=\d)", " ")
-    half_day = r"(?i)(?: ?[ap]m)?"
-    iso = F.regexp_extract(spaced, rf"^(\d{{4}}-\d+-\d+(?: \d\d?:\d\d.*?)?){half_day}$", 1)
-    shift = (
-        F.when(value.rlike(r"(?i)\D(?:0?[1-9]|1[01]):[\d:.]+ ?pm$"), F.expr("interval 12 hours"))
-        .when(value.rlike(r"(?i)\D12:[\d:.]+ ?am$"), F.expr("interval -12 hours"))
-        .otherwise(F.expr("interval 0 hours"))
+    iso = F.regexp_replace(
+        ordered, r"^(\d{4}-\d+-\d+)[T ,]+(\d\d?:\d\d.*?)(?i: ?[ap]m)?$", "$1 $2"
     )
+    half = F.when(
+        value.rlike(r"(?i)\D(?:0?[1-9]|1[01]):[\d:.]+ ?pm$"), F.expr("interval 12 hours")
+    ).when(value.rlike(r"(?i)\D12:[\d:.]+ ?am$"), F.expr("interval -12 hours"))
+    none = F.expr("interval 0 hours")
+    shift = F.when(F.upper(F.right(value, F.lit(1))) == "M", F.coalesce(half, none)).otherwise(none)
     return (iso.try_cast("timestamp") + shift).cast("timestamp_ntz")
 
 

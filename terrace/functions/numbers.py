@@ -8,25 +8,17 @@ from pyspark.sql import types as T
 
 from terrace import constants as K
 from terrace.functions.names import col, dtype_of, has_word, is_float, is_number
-from terrace.functions.text import strip
+from terrace.functions.text import let, strip
 
 _SPACE = r"[\s\x85\xa0  -     　]*"
-_POINT = "\x01"  # stands for the decimal point while grouping marks are removed
-_NUMBER = r"(?i)^([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?))$"
-# Applied in turn; every pattern sees the result of the one before.
-_STEPS = (
-    (rf"(?s)^\((.*)\)$", "$1"),
-    (rf"^{_SPACE}(?i:{K.CURRENCIES}){_SPACE}|^{_SPACE}", ""),
-    # No unit starts with a digit or a mark; looking ahead for that skips most positions.
-    (rf"(?i)(?=[^0-9.,+-])(?:{_SPACE}(?:{K.UNITS})\.?)?(?:{_SPACE}(?:{K.CURRENCIES}))?{_SPACE}$", ""),
-    # Dots between groups of three digits, and a comma after the last dot: the dots group.
-    (r"^(-?\d{1,3}(?:\.\d{3})+)$", f"$1{_POINT}"),
-    (r"^(.*\.[^.]*),([^.]*)$", f"$1{_POINT}$2"),
-    (rf"\.(?=.*{_POINT})", ""),
-    # Any other comma groups.
-    (rf",(?!.*{_POINT})", ""),
-    (_POINT, "."),
+# One currency, the digits and marks (captured), one unit, one currency, all of it in brackets or not.
+# Possessive, because nothing given back could match later.
+_SHAPE = (
+    rf"(?i)^\(?{_SPACE}(?:{K.CURRENCIES})?{_SPACE}"
+    r"([-+\d.,]++(?:e[-+\d.,]++)?|[-+]?inf(?:inity)?)"
+    rf"(?:{_SPACE}(?:{K.UNITS})\.?)?(?:{_SPACE}(?:{K.CURRENCIES}))?{_SPACE}\)?$"
 )
+_COMMA_IS_POINT = r"\.[^.]*,[^.]*$"
 
 
 def parse_number(text: Column) -> Column:
@@ -35,15 +27,29 @@ def parse_number(text: Column) -> Column:
     ``(1.234,50)`` is negative, currencies and units are dropped, and whichever of ``.`` and ``,``
     comes last is the decimal separator when both occur. A lone comma groups thousands, and so do
     dots between groups of three digits. ``1.0d``, which Java would take, is no number.
-
-    Every step refers to the previous one once, so each pattern runs once per value.
     """
-    value = strip(text)
-    for pattern, replacement in _STEPS:
-        value = F.regexp_replace(value, pattern, replacement)
-    number = F.regexp_extract(value, _NUMBER, 1).try_cast("double")
-    in_brackets = text.rlike(rf"(?s)^{_SPACE}\(.*\){_SPACE}$")
-    return number * F.when(in_brackets, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return let(strip(text), number_in)
+
+
+def number_in(value: Column) -> Column:
+    """``parse_number`` for text that is already stripped and computed."""
+    opens, closes = value.startswith("("), value.endswith(")")
+    sign = F.when(opens, F.lit(-1.0)).otherwise(F.lit(1.0))
+    # No cast where nothing was captured: a failing cast raises an exception inside, which is slow.
+    number = let(
+        F.regexp_extract(value, _SHAPE, 1),
+        lambda digits: F.when(digits != "", _plain(digits).try_cast("double")),
+    )
+    return F.when(opens == closes, number * sign)
+
+
+def _plain(digits: Column) -> Column:
+    """The captured part with a point for the decimals and nothing between the thousands."""
+    return (
+        F.when(digits.rlike(_COMMA_IS_POINT), F.translate(digits, ",.", "."))
+        .when(digits.rlike(K.DOT_THOUSANDS), F.replace(digits, F.lit("."), F.lit("")))
+        .otherwise(F.replace(digits, F.lit(","), F.lit("")))
+    )
 
 
 def as_number(df: DataFrame, name: str) -> Column:

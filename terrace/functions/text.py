@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,17 +17,21 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(K.WHITESPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once.
+
+    For long chains of patterns. Written out inline, a few such chains in one projection make a
+    generated method that takes seconds to compile and is too long for the JVM to optimise.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def is_blank(name: str, dtype) -> Column:
     """True where the column is null or, for text, only whitespace."""
     value = col(name)
     return value.isNull() | (strip(value) == "") if is_text(dtype) else value.isNull()
 
 
-def null_like(value: Column) -> Column:
-    """True for empty text and the usual spellings of a missing value."""
-    return F.lower(strip(value)).isin(*K.NULL_LIKE)
-
-
 def template(text: str, columns: list[str]) -> Column:
     """``"REVIEW_{col}"`` as an expression; a brace naming no column stays as it is.
 

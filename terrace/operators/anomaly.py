@@ -10,7 +10,7 @@ from terrace import constants as K
 from terrace.functions.names import as_list, col, dtype_of, is_number, number_columns
 from terrace.functions.numbers import as_number
 from terrace.operators.quantiles import exact_quantiles
-from terrace.session import cut_lineage
+from terrace.session import cut_lineage, spread
 
 TREES = 100
 TREE_ROWS = 256
@@ -71,7 +71,9 @@ def _by_forest(df: DataFrame, filled: dict[str, Column], seed: int) -> DataFrame
     forest = _grow(df.select(*features), total, seed)
     score = _scorer(forest, min(TREE_ROWS, total))(*features)
     # Scores are read several times for the threshold: keep that one column, not the table.
-    scores = cut_lineage(df.select(score.alias("score")))
+    inputs = spread(df.select(*features))
+    raw_score = _scorer(forest, min(TREE_ROWS, total))(*[F.col(n) for n in inputs.columns])
+    scores = cut_lineage(inputs.select(raw_score.alias("score")))
     ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
     limit = exact_quantiles(scores, {"score": F.col("score")}, [1 - K.CONTAMINATION])
     limit = limit["score"].values[0]

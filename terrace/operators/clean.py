@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace import constants as K
-from terrace.functions.dates import parse_date
+from terrace.functions.dates import date_in, parse_date
 from terrace.functions.names import col, dtype_of, has_word, is_number, is_text, text_columns
-from terrace.functions.numbers import as_ledger_number, parse_number
-from terrace.functions.text import null_like, strip, template
+from terrace.functions.numbers import as_ledger_number, number_in
+from terrace.functions.text import let, strip, template
+from terrace.session import spread
+
+
+_PRESENT, _NUMBER, _SHAPED, _DATE = 1, 2, 4, 8
+_NULL_LIKE = "(?i)^(?:" + "|".join(K.NULL_LIKE) + ")$"
 
 
 def clean(df: DataFrame, config: dict) -> DataFrame:
@@ -30,26 +35,31 @@ def strip_whitespace(df: DataFrame) -> DataFrame:
 
 
 def type_profile(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
-    """Counts that decide the type of each text column, all columns in one aggregate."""
-    measures: list[Column] = []
-    for i, name in enumerate(names):
-        value = strip(col(name))
-        present = col(name).isNotNull() & ~null_like(col(name))
+    """Counts that decide the type of each text column, all columns in one pass.
+
+    Each cell becomes one small number that says what it could be; those are counted.
+    """
+
+    def reading(value: Column) -> Column:
         shaped = (
             value.rlike(K.DATE_SHAPE)
             & (F.length(value) >= K.DATE_SHAPE_LENGTH)
             & ~value.rlike(r"^\d+$")
         )
-        for key, test in (
-            ("values", present),
-            ("numbers", present & parse_number(value).isNotNull()),
-            ("shaped", present & shaped),
-            ("dates", present & shaped & parse_date(value).isNotNull()),
-        ):
-            measures.append(F.count_if(test).alias(f"{key}{i}"))
-    row = df.agg(*measures).first()
-    keys = ("values", "numbers", "shaped", "dates")
-    return {name: {k: row[f"{k}{i}"] for k in keys} for i, name in enumerate(names)}
+        number = F.when(number_in(value).isNotNull(), _NUMBER).otherwise(0)
+        date = F.when(date_in(value).isNotNull(), _SHAPED + _DATE).otherwise(_SHAPED)
+        missing = value.isNull() | value.rlike(_NULL_LIKE)
+        return F.when(missing, 0).otherwise(number + F.when(shaped, date).otherwise(0) + _PRESENT)
+
+    readings = spread(df.select(*map(col, names))).select(*[
+        let(strip(col(n)), reading).alias(f"r{i}") for i, n in enumerate(names)
+    ])
+    bits = {"values": _PRESENT, "numbers": _NUMBER, "shaped": _SHAPED, "dates": _DATE}
+    row = readings.agg(*[
+        F.count_if(F.col(r).bitwiseAND(bit) > 0).alias(f"{key}_{r}")
+        for r in readings.columns for key, bit in bits.items()
+    ]).first()
+    return {n: {k: row[f"{k}_r{i}"] for k in bits} for i, n in enumerate(names)}
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -132,23 +132,23 @@ def _read(doubles: DataFrame, targets: list[_Target]) -> list[float]:
     The aggregate keeps distinct values with their counts, so repeated values cost nothing. Asking
     for the middle of a rank's step leaves no room for rounding.
     """
-    if not targets:
-        return []
     names = list(doubles.columns)
     measures = []
     for i, t in enumerate(targets):
-        value = f"case when c{names.index(t.name)} between {t.low!r}D and {t.high!r}D " \
-                f"then c{names.index(t.name)} end"
-        for j, rank in enumerate(t.ranks):
-            q = (rank - t.below + 0.5) / t.inside
-            measures.append(
-                F.expr(f"percentile_disc({q!r}D) within group (order by {value})").alias(f"v{i}_{j}")
-            )
-    row = doubles.toDF(*[f"c{k}" for k in range(len(names))]).agg(*measures).first()
-    return [
-        row[f"v{i}_0"] + (row[f"v{i}_1"] - row[f"v{i}_0"]) * (t.position - t.ranks[0])
-        for i, t in enumerate(targets)
-    ]
+        if t.low < t.high:
+            value = f"c{names.index(t.name)}"
+            inside = f"case when {value} between {t.low!r}D and {t.high!r}D then {value} end"
+            steps = ", ".join(f"{(r - t.below + 0.5) / t.inside!r}D" for r in t.ranks)
+            picked = f"percentile_disc(array({steps})) within group (order by {inside})"
+            measures.append(F.expr(picked).alias(f"v{i}"))
+    row = None
+    if measures:
+        row = doubles.toDF(*[f"c{k}" for k in range(len(names))]).agg(*measures).first()
+    out = []
+    for i, t in enumerate(targets):
+        low, high = row[f"v{i}"] if t.low < t.high else (t.low, t.low)
+        out.append(low + (high - low) * (t.position - t.ranks[0]))
+    return out
 
 
 def iqr_fences(
