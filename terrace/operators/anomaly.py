@@ -78,12 +78,12 @@ def _by_forest(df: DataFrame, filled: dict[str, Column], seed: int) -> DataFrame
     limit = exact_quantiles(scores, {"score": F.col("score")}, [1 - K.CONTAMINATION])
     limit = limit["score"].values[0]
     low, high = ends.low or 0.0, ends.high or 0.0
-    spread = F.lit(high - low + 1e-6)
+    width = F.lit(high - low + 1e-6)
     scored = df.withColumn(K.ANOMALY_SCORE, score)
     raw = F.col(K.ANOMALY_SCORE)
     return scored.withColumns({
         K.ANOMALY_LABEL: F.when(raw > F.lit(limit), "ANOMALY").otherwise("NORMAL"),
-        K.ANOMALY_SCORE: F.round((raw - low) / spread, 4) if high > low else F.lit(0.0),
+        K.ANOMALY_SCORE: F.round((raw - low) / width, 4) if high > low else F.lit(0.0),
     })
 
 
@@ -99,7 +99,7 @@ def _grow(features: DataFrame, total: int, seed: int) -> list[dict]:
         F.sequence(F.lit(0), F.lit(copies - 1)),
         lambda i: F.pmod(first + i * 37, F.lit(TREES)).cast("int"),
     )
-    spread = sample.select(F.explode(trees).alias("tree"), *features.columns)
+    drawn = sample.select(F.explode(trees).alias("tree"), *features.columns)
     names = features.columns
     rows_per_tree = TREE_ROWS
 
@@ -138,7 +138,7 @@ def _grow(features: DataFrame, total: int, seed: int) -> list[dict]:
         "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, "
         "size array<int>, depth array<int>"
     )
-    grown = spread.groupBy("tree").applyInPandas(grow, schema).collect()
+    grown = drawn.groupBy("tree").applyInPandas(grow, schema).collect()
     return [r.asDict() for r in sorted(grown, key=lambda r: r.tree)]
 
 
