@@ -156,7 +156,7 @@ JOINS["join_composite"] = """
 AGGREGATES = {
     f"rollup_{name}": f"""
         select date_trunc('{unit}', o_orderdate)::timestamp as {name},
-          round(sum(o_totalprice), 2) as total, count(*) as count, round(avg(o_totalprice), 4) as avg
+          round(sum(o_totalprice), 2) as total, count(*) as count, round(avg(o_totalprice), 8) as avg
         from orders group by 1"""
     for name, unit in (("daily", "day"), ("weekly", "week"), ("monthly", "month"))
 }
@@ -202,7 +202,7 @@ DASHBOARDS = {
         select p_brand as name, round(sum(p_retailprice), 2) as value from part
         where p_type = 'ECONOMY' group by 1 order by 2 desc""",
     "chart_line": """
-        select o_orderdate as name, round(avg(o_totalprice), 4) as value from orders
+        select o_orderdate as name, round(avg(o_totalprice), 8) as value from orders
         group by 1 order by 1""",
     "distinct_values": """
         select distinct o_custkey as value from orders where o_custkey is not null

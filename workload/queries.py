@@ -385,7 +385,7 @@ def _rollup(unit):
             "groupBy": unit,
             "aggregations": "total = SUM(o_totalprice)\ncount = COUNT(*)\navg = AVG(o_totalprice)",
         })
-        return out.withColumns({"total": F.round("total", 2), "avg": F.round("avg", 4)})
+        return out.withColumns({"total": F.round("total", 2), "avg": F.round("avg", 8)})
 
     return query
 
@@ -478,7 +478,7 @@ def chart_line(spark, sf):
     out = bi.widget(_table(spark, sf, "orders"), {
         "type": "LINE", "xField": "o_orderdate", "yField": "o_totalprice", "aggregation": "AVG",
     })
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", F.round("value", 8))
 
 
 def distinct_values(spark, sf):
