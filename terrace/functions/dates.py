@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.text import let, strip
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH_WORD = (
     r"(?i)(?<![a-z])(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?"
@@ -41,7 +42,9 @@ _CENTURY = ((r"^Y(?=[0-5]\d-|6[0-8]-)", "20"), (r"^Y(?=\d\d-)", "19"), (r"^Y", "
 def _spelled_months(text: Column) -> Column:
     """Dates with a month name, put in year-month-day order."""
     bare = F.regexp_replace(text, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
-    start = F.lower(F.substring(F.regexp_extract(text, _MONTH_WORD, 1), 1, 3))
+    start = F.translate(
+        F.substring(F.regexp_extract(text, _MONTH_WORD, 1), 1, 3), _UPPER, _UPPER.lower()
+    )
     number = F.lpad((F.floor((F.instr(F.lit(_MONTHS), start) + 2) / 3)).cast("string"), 2, "0")
     marked = F.regexp_replace(bare, F.lit(_MONTH_WORD), F.concat(F.lit("M"), number))
     ordinal = r"(?:st|nd|rd|th)?"
