@@ -147,7 +147,7 @@ def run(lake: Lake, spec: dict, frame: DataFrame | None = None, as_of: datetime
             config["_source_category"] = source.get("category")
             checked = {**step, "config": config}
             if drops_rows(config):
-                df = _validate_and_drop(lake, df, number, checked, as_of, errors)
+                df = _validate_and_drop(lake, df, number, checked, context, as_of, errors)
             else:
                 df = _apply(df, number, checked, None, errors)
         else:
@@ -172,14 +172,19 @@ def _continue_from(lake: Lake, df: DataFrame, layer: str, table: str) -> DataFra
     return written.select(*[F.col(f"`{n}`") for n in df.columns])
 
 
-def _validate_and_drop(lake, df, number, step, as_of, errors) -> DataFrame:
-    """Keep the rows that pass; the others go to a quarantine table, with a record of them."""
+def quarantine_table(pipeline_id: int, step: int) -> str:
+    """Table in the silver layer with the rows a dropping VALIDATE step last took out."""
+    return f"{K.FAILED_ROWS_TABLE}_{pipeline_id}_{step}"
+
+
+def _validate_and_drop(lake, df, number, step, context, as_of, errors) -> DataFrame:
+    """Keep the rows that pass; the others go to the step's quarantine table, with a record of them."""
     try:
         kept, rejected = split_valid(df, step_config(step))
     except (PySparkException, ValueError, TypeError) as error:
         errors.append({"step": number, "type": "VALIDATE", "error": str(error)})
         return df
-    table = f"{K.FAILED_ROWS_TABLE}_{number}"
+    table = quarantine_table(context["pipeline_id"], number)
     count = lake.overwrite(rejected, "silver", table)
     if count:
         record = quarantine_record(

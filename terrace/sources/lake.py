@@ -194,9 +194,10 @@ class Lake:
     # --- metadata ----------------------------------------------------------------------------
 
     def discover(self) -> DataFrame:
-        """One row per table: name, columns, and rows."""
+        """One row per table: name, columns, and rows. The lake's own tables are left out."""
+        own = [(layer, t) for layer, t in self.tables() if not t.startswith("_")]
         return describe_tables(
-            self.spark, {f"{lay}.{t}": self.read(lay, t) for lay, t in self.tables()}
+            self.spark, {f"{layer}.{t}": self.read(layer, t) for layer, t in own}
         )
 
     def register(self, outputs: list[dict], as_of: datetime | None = None) -> None:

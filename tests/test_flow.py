@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from terrace.plans.flow import apply_steps, check_gold, run
+from terrace.plans.flow import apply_steps, check_gold, quarantine_table, run
 from terrace.plans.templates import GOALS, TEMPLATES, template
 from workload.compare import compare, oracle_connection
 from workload.queries import QUERIES
@@ -59,7 +59,7 @@ def test_drop_mode_quarantines(spark, lake):
              {**step("OUTPUT", 3), "outputTable": "ok"}]
     summary = run(lake, {"steps": steps}, df, AT)
     assert summary["rows"] == 4 and summary["insights"]
-    assert lake.read("silver", "_failed_rows_1").count() == 4
+    assert lake.read("silver", quarantine_table(0, 1)).count() == 4
     assert lake.read("silver", "_failed_rows").first().reason == "Validation rules dropped rows (4 rows)"
     flagged = run(lake, {"steps": steps, "source": {"category": "Keuangan / Finance"}}, df, AT)
     assert flagged["rows"] == 8

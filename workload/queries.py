@@ -25,7 +25,7 @@ from terrace.operators.transform import (
     categorize, filter_rows, page, search_rows, sort_rows, transform,
 )
 from terrace.operators.validate import split_valid, validate
-from terrace.plans.flow import apply_steps, run
+from terrace.plans.flow import apply_steps, quarantine_table, run
 from terrace.plans.templates import template
 from terrace.session import scratch_folder
 from terrace.sources import lake as lakes
@@ -816,7 +816,7 @@ def quarantine_flow(spark, sf):
         {"type": "OUTPUT", "order": 2, "outputLayer": "SILVER", "outputTable": "good"},
     ]
     run(lake, {"steps": steps}, _dirty_orders(spark, sf).select("o_orderkey", "status"), AS_OF)
-    return lake.read("silver", f"{K.FAILED_ROWS_TABLE}_1")
+    return lake.read("silver", quarantine_table(0, 1))
 
 
 def failed_rows_record(spark, sf):
