@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace import constants as K
-from terrace.functions.names import as_list, col, dtype_of, is_number, number_columns
+from terrace.functions.names import as_list, dtype_of, is_number, number_columns
 from terrace.functions.numbers import as_number
 from terrace.operators.quantiles import exact_quantiles
 from terrace.session import cut_lineage, spread

@@ -2,7 +2,6 @@ import json
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from terrace.sources import export
 from terrace.sources.database import jdbc_options
