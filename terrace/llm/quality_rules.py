@@ -58,7 +58,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), F.size("_hash") - WINDOW),
         lambda i: F.xxhash64(*(F.get("_hash", i + k) for k in range(WINDOW)))))
     fourth = third.select("*", windows.alias("_windows"))
-    fifth = fourth.select("*", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"))).otherwise(F.lit(0)).alias("n_repeat_words"))
+    fifth = _covered(fourth)
     kept_names = [c for c in docs.columns if c not in COUNTS]
     return fifth.select(
         *(F.col(f"`{c}`") for c in kept_names),
@@ -66,7 +66,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count(value, "#*$%&|<>").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.col("n_repeat_words").cast("long").alias("n_repeat_words"),
+        F.aggregate("_steps", F.lit(0), lambda total, x: total + x).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.char_length(F.regexp_replace(value, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         _count(value, "!").alias("n_marks"),
@@ -81,19 +81,29 @@ def _count(text: Column, characters: str) -> Column:
     return (F.octet_length(text) - F.octet_length(left)).cast("long")
 
 
-def _covered(windows: Column) -> Column:
-    """Words in windows whose hash occurs twice or more: sort, keep the runs, add up what each window newly covers."""
-    pairs = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    # Neighbours of the sorted pairs, side by side; both ends get a null neighbour.
-    hashes = F.transform(pairs, lambda x: x["h"])
-    before = F.concat(F.array(F.lit(None).cast("bigint")), hashes)
-    after = F.slice(F.concat(hashes, F.array(F.lit(None).cast("bigint"))), F.lit(2), F.size(hashes))
-    found = F.filter(F.arrays_zip(pairs.alias("p"), before.alias("b"), after.alias("a")),
-                     lambda x: F.coalesce((x["p"]["h"] == x["b"]) | (x["p"]["h"] == x["a"]), x["p"]["h"] == x["b"], x["p"]["h"] == x["a"], F.lit(False)))
-    places = F.sort_array(F.transform(found, lambda x: x["p"]["i"]))
-    return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-                       lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")),
-                       lambda acc: acc["n"])
+def _covered(rows: DataFrame) -> DataFrame:
+    """Add ``_steps``: for each window whose hash occurs twice or more, the words it covers that the last such one did not.
+
+    Hash and place are packed into one number, so that a plain sort brings equal hashes together; the full hashes are
+    compared, too. Every array that a lambda reads is a column of its own, made once. Texts without such windows skip it all.
+    """
+    size = F.size("_windows")
+    repeated = F.size(F.array_distinct("_windows")) < size
+    bits = F.ceil(F.log2(size + F.lit(1.0))).cast("int")
+    packed = rows.select("*", F.when(repeated, bits).otherwise(0).alias("_bits")).select("*", F.when(F.col("_bits") > 0, F.sort_array(
+        F.transform("_windows", lambda x, i: F.call_function("shiftleft", x, F.col("_bits")).bitwiseOR(i.cast("bigint")))))
+        .otherwise(F.array().cast("array<bigint>")).alias("_packed"), (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) - 1).alias("_mask"))
+    place = lambda x: x.bitwiseAND(F.col("_mask")).cast("int")
+
+    def same(x: Column, at: Column) -> Column:
+        other = F.get("_packed", at)
+        near = F.call_function("shiftrightunsigned", x.bitwiseXOR(other), F.col("_bits")) == 0
+        return F.coalesce(near & (F.get("_windows", place(x)) == F.get("_windows", place(other))), F.lit(False))
+
+    places = packed.select("*", F.sort_array(F.transform(
+        F.filter("_packed", lambda x, i: same(x, i + 1) | same(x, i - 1)), place)).alias("_places"))
+    return places.select("*", F.transform("_places", lambda p, i: F.least(
+        F.lit(WINDOW), p - F.coalesce(F.get("_places", i - 1), F.lit(-WINDOW)))).alias("_steps"))
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
