@@ -6,10 +6,10 @@ threshold 0.8 meet in some table with probability 0.9996, more similar ones more
 
 Equal sets are one class before anything else. A half-key that no other class has cannot be part of a shared
 table key, so pairs are formed only of shared ones. Within a bucket not all pairs are compared: every
-class is compared with the bucket's leader first, for some rounds with other leaders, and classes already known to be connected
-are not compared again. What is left then, classes of different components that share a bucket, is compared pair
-by pair, so no link that could join two components is lost. All links are confirmed on the full
-sets of 64-bit shingle hashes.
+class is compared with the bucket's hub first, the class whose buckets are fullest, then with a leader of each bucket's own.
+Classes already known to be connected are not compared again. What is left, classes of different components that share a
+table, is compared pair by pair, each pair once, so no link that could join two components is lost. All links are
+confirmed on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -117,15 +117,15 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_ty
     halves = classes.filter("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     first = F.col("at") < SIDE
-    tables = (
-        halves.join(shared, "key").groupBy("node", "n")
-        .agg(F.collect_list(F.when(first, F.col("key"))).alias("a"), F.collect_list(F.when(~first, F.col("key"))).alias("b"))
-        .select("node", "n", F.explode("a").alias("a"), "b").select("node", "n", "a", F.explode("b").alias("b"))
-        .select("node", "n", F.xxhash64("a", "b").alias("table_key"))
-    )
-    tables = staged(tables)
-    crowded = tables.groupBy("table_key").agg(F.count("*").alias("c")).filter("c > 1").select("table_key")
-    buckets = staged(tables.join(crowded, "table_key"))
+    # At most SIDE half-keys on either side.
+    halved = staged(halves.join(shared, "key").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.when(first, F.col("key")))).alias("a"), F.sort_array(F.collect_list(F.when(~first, F.col("key")))).alias("b")))
+    tables = (halved.select("node", "n", F.explode("a").alias("a"), "b").select("node", "n", "a", F.explode("b").alias("b"))
+              .select("node", "n", F.xxhash64("a", "b").alias("table_key")))
+    crowded = tables.groupBy("table_key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = tables.join(crowded, "table_key")
+    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    buckets = staged(buckets.drop("size").join(weights, "node"))
     wanted = buckets.select("node").distinct().join(classes.select("node", "set_id"), "node")
     sets = staged(_sets(texts, wanted, words, id_type))
     close = (100 * F.least("n", "n2") >= similar * F.greatest("n", "n2"))
@@ -139,15 +139,18 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_ty
             mixed = known.groupBy("table_key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("table_key")
             known = staged(known.join(mixed, "table_key"))
         if turn < LEADER_ROUNDS:
-            order = F.xxhash64("node", F.lit(turn))
-            other = known.groupBy("table_key").agg(F.min(F.struct(order.alias("o"), "node", "n", "c")).alias("l")).select(
+            order = F.col("weight") if turn == 0 else F.xxhash64("node", "table_key", F.lit(turn))
+            leaders = known.groupBy("table_key").agg(F.max(F.struct(order.alias("o"), "node", "n", "c")).alias("l")).select(
                 "table_key", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.c").alias("c2"))
-            different = F.col("c") != F.col("c2")
+            pairs = known.join(leaders, "table_key").filter((F.col("c") != F.col("c2")) & close).select("node", "node2")
         else:
-            other = known.select("table_key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            different = F.col("c") < F.col("c2")
-        pairs = known.join(other, "table_key").filter(different & close).select(
-            F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+            # Each pair once: at the first of the half-keys that both have, if they share one of the other side, too.
+            rest = known.select("node", "c").distinct().join(halved, "node")
+            one = rest.select(F.explode("a").alias("key"), "*")
+            two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c")))
+            pairs = one.join(two, "key").filter((F.col("c") < F.col("c2")) & close & F.arrays_overlap("b", "b2") & (
+                F.array_min(F.array_intersect("a", "a2")) == F.col("key"))).select("node", "node2")
+        pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         results = staged(_confirmed(pairs, sets, similar))
