@@ -112,19 +112,19 @@ def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"
 
 def votes() -> list[Column]:
     """One column per rule: 1 good, -1 bad, 0 abstain. All abstain where there are no words."""
-    words = F.col("n_words")
+    words, letters = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("word_chars"), F.lit(0))
     share = {
         "symbols": F.col("n_symbols") / words,
         "repeated": F.col("n_repeat_words") / words,
         "lines": F.col("n_dup_lines") / F.when(F.col("n_lines") >= 2, F.col("n_lines")),
-        "capitals": F.col("n_capitals") / F.col("word_chars"),
+        "capitals": F.col("n_capitals") / letters,
         "marks": F.col("n_marks") / words,
         "length": F.abs(F.col("word_chars") / words - 7),
         "plain": (F.col("n_symbols") + F.col("n_marks")) / words,
     }
     share |= {"fresh": share["repeated"], "lower": share["capitals"]}
-    bad = [F.when((words > 0) & (share[k] >= at), -1).otherwise(0).alias(k) for k, (_, at) in DETECTORS.items()]
-    good = [F.when((words > 0) & (share[k] <= at), 1).otherwise(0).alias(k) for k, (_, at) in WITNESSES.items()]
+    bad = [F.when(share[k] >= at, -1).otherwise(0).alias(k) for k, (_, at) in DETECTORS.items()]
+    good = [F.when(share[k] <= at, 1).otherwise(0).alias(k) for k, (_, at) in WITNESSES.items()]
     return bad + good
 
 
