@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality rules accept."""
     reachable(spark)
-    model = quality_rules.fit(quality_rules.quality_counts(docs.select("doc_id", "text")))
-    return quality_rules.judged(quality_rules.with_counts(docs), model).filter("kept").select(*docs.columns)
+    # Staged with the texts: a filter on the verdict would otherwise be planned as one expression over all the counts.
+    counts = staged(quality_rules.with_counts(docs))
+    return quality_rules.judged(counts, quality_rules.fit(counts)).filter("kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

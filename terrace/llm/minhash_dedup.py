@@ -98,13 +98,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     signed = staged(texts.mapInArrow(sign, f"_id {id_type}, n long, set_id binary, keys array<bigint>"))
     classes = staged(signed.filter("set_id is not null").groupBy("set_id").agg(
         F.min("_id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys")))
-    links = _links(texts, classes, words, similar, id_type)
-    component = components(links) if links is not None else None
-    named = classes.select("set_id", "node")
-    if component is not None:
-        named = named.join(component, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    else:
-        named = named.withColumnRenamed("node", "component_id")
+    component = _components(texts, classes, words, similar, id_type)
+    named = classes.select("set_id", "node").join(component, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     bare = signed.select("_id", "n", "set_id")
     out = bare.filter("set_id is not null").join(named, "set_id").select("_id", "n", "component_id").unionAll(
         bare.filter("set_id is null").select("_id", "n", F.col("_id").alias("component_id")))
@@ -112,8 +107,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                       F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_type: str) -> DataFrame | None:
-    """Confirmed links between classes: enough of them to connect what is connected."""
+def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_type: str) -> DataFrame:
+    """Components of classes, from confirmed links: enough of them to connect what is connected."""
     halves = classes.filter("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     first = F.col("at") < SIDE
@@ -138,6 +133,8 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_ty
             known = staged(known)
             mixed = known.groupBy("table_key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("table_key")
             known = staged(known.join(mixed, "table_key"))
+            if known.isEmpty():
+                break
         if turn < LEADER_ROUNDS:
             order = F.col("weight") if turn == 0 else F.xxhash64("node", "table_key", F.lit(turn))
             leaders = known.groupBy("table_key").agg(F.max(F.struct(order.alias("o"), "node", "n", "c")).alias("l")).select(
@@ -155,11 +152,11 @@ def _links(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_ty
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         results = staged(_confirmed(pairs, sets, similar))
         new = results.filter("linked").select("u", "v")
-        links = new if links is None else links.unionAll(new)
         tested = results.select("u", "v") if tested is None else tested.unionAll(results.select("u", "v"))
-        if turn < LEADER_ROUNDS:
+        if component is None or not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
             component = components(links)
-    return links
+    return component
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, id_type: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Each rule votes good, bad, or abstains, from counts over the whole text. Expectation-maximisation over
 the distinct vote patterns (at most two to the number of rules, however many documents there are)
 estimates how often each rule gives each vote to good and bad documents; the posterior probability of
-good then decides. All of it is DataFrame functions: the counts are computed within the row and
-staged, the patterns are a grouped count, and the estimation is one fold over an array.
+good then decides. Counts and verdicts are DataFrame functions within the row, the patterns are a grouped count; only the
+few numbers of the model are worked out on the driver, from those patterns.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -147,23 +148,22 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> Model:
     To start with, any vote for bad outweighs those for good. Vote shares are smoothed, so a rule that never votes, or always the
     same, adds nothing. An empty table gives the same model as the votes alone.
     """
-    names = list(RULES)
-    patterns = (counts.filter(F.col("n_words") > 0).select(*votes()).groupBy(*names).agg(F.count("*").cast("double").alias("n"))
-                .select(F.struct(F.col("n"), F.array(*names).alias("v")).alias("p"))
-                .agg(F.sort_array(F.collect_list("p")).alias("p")))  # at most 2 ** len(RULES) rows
-    start = "transform(p, x -> struct(x.n as n, x.v as v, CASE WHEN array_min(x.v) < 0 THEN 0.1D WHEN array_max(x.v) > 0 THEN 0.9D ELSE 0.5D END as r))"
-    # For rule j and vote k: weight of the vote among good, and among bad.
-    mass = "aggregate(s, 0D, (t, x) -> t + x.n * {r} * IF(element_at(x.v, j + 1) = k, 1D, 0D))"
-    whole = "aggregate(s, 0D, (t, x) -> t + x.n * {r})"
-    odds = (f"transform(sequence(0, {len(names) - 1}), j -> transform(sequence(-1, 1), k -> "
-            f"ln(({mass.format(r='x.r')} + 1D) / ({whole.format(r='x.r')} + 3D)) - ln(({mass.format(r='(1D - x.r)')} + 1D) / ({whole.format(r='(1D - x.r)')} + 3D))))")
-    prior = f"ln(({whole.format(r='x.r')} + 1D) / ({whole.format(r='(1D - x.r)')} + 1D))"
-    step = (f"transform(array(struct({prior} as prior, {odds} as odds)), m -> transform(s, x -> struct(x.n as n, x.v as v, "
-            "1D / (1D + exp(-(m.prior + aggregate(zip_with(x.v, m.odds, (v, o) -> element_at(o, v + 2)), 0D, (t, o) -> t + o)))) as r)))[0]")
-    row = (patterns.selectExpr(f"{start} as s0")
-           .selectExpr(f"aggregate(sequence(1, {rounds}), s0, (s, i) -> {step}) as s")
-           .selectExpr(f"{prior} as prior", f"{odds} as odds").first())
-    return Model(float(row.prior), tuple(tuple(float(x) for x in o) for o in row.odds))
+    rows = counts.filter(F.col("n_words") > 0).select(*votes()).groupBy(*RULES).agg(F.count("*").alias("n")).collect()
+    # At most 2 ** len(RULES) rows, whatever the size of the table.
+    patterns = sorted((tuple(r[k] for k in RULES), r.n) for r in rows)
+    good = [0.1 if min(v) < 0 else 0.9 if max(v) > 0 else 0.5 for v, _ in patterns]
+    for _ in range(rounds + 1):
+        mass = sum(n * g for (_, n), g in zip(patterns, good)), sum(n * (1 - g) for (_, n), g in zip(patterns, good))
+        prior = math.log((mass[0] + 1) / (mass[1] + 1))
+        odds = []
+        for j in range(len(RULES)):
+            of = {vote: [1.0, 1.0] for vote in (-1, 0, 1)}
+            for (v, n), g in zip(patterns, good):
+                of[v[j]][0] += n * g
+                of[v[j]][1] += n * (1 - g)
+            odds.append(tuple(math.log(a / (mass[0] + 3)) - math.log(b / (mass[1] + 3)) for a, b in of.values()))
+        good = [1 / (1 + math.exp(-max(-500.0, prior + sum(o[x + 1] for o, x in zip(odds, v))))) for v, _ in patterns]
+    return Model(prior, tuple(odds))
 
 
 def judged(counts: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
