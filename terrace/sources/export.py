@@ -12,9 +12,12 @@ from terrace.functions.names import col
 from terrace.operators.bi import widget
 
 
-def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int = K.EXPORT_ROWS) -> None:
-    """A table as CSV or TSV with every field quoted and missing values empty, or as JSON."""
-    rows = df.limit(limit)
+def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int | None = K.EXPORT_ROWS) -> None:
+    """A table as CSV or TSV with every field quoted and missing values empty, or as JSON.
+
+    The first ``limit`` rows are written; without a limit, all of them, in parallel.
+    """
+    rows = df if limit is None else df.limit(limit)
     fmt = fmt.lower()
     if fmt == "json":
         rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

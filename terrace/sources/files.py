@@ -83,7 +83,7 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """JSON records as text columns, one per key, in the order keys first appear.
 
     Each file holds one array or one object, or with ``lines`` one object per line. Nested values
-    stay JSON text.
+    stay JSON text. A text that is no such JSON is an error, so that no record is lost unseen.
     """
     if lines:
         texts = spark.read.text(path)
@@ -92,8 +92,11 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     texts = texts.select(F.trim("value").alias("value")).filter("value != ''")
     one = F.from_json("value", "map<string,string>")
     many = F.from_json("value", "array<map<string,string>>")
+    found = F.when(F.col("value").startswith("["), many).otherwise(
+        F.when(one.isNotNull(), F.array(one)))
+    broken = F.raise_error(F.concat(F.lit("malformed JSON: "), F.substring("value", 1, 80)))
     records = texts.select(
-        F.posexplode(F.when(F.col("value").startswith("["), many).otherwise(F.array(one)))
+        F.posexplode(F.coalesce(found, broken.cast("array<map<string,string>>")))
         .alias("place", "record")
     )
     keys = (

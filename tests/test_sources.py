@@ -187,3 +187,16 @@ def test_streams(spark, lake, tmp_path):
     upsert_stream(stream.drop("_ingested_at"), lake, "silver", "s", ["id"], str(tmp_path / "cp2"),
                   order=["v"]).awaitTermination()
     assert sorted(tuple(r)[:2] for r in lake.read("silver", "s").collect()) == [("1", "a"), ("2", "c")]
+
+
+def test_malformed_array_is_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a":1},{"a":2}]')
+    assert read_records(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.json").write_text('[{"a":3},{"a":4')
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_records(spark, str(tmp_path)).collect()
+
+
+def test_export_without_limit_writes_all(spark, tmp_path):
+    export.export_table(spark.range(120_000), str(tmp_path / "all"), limit=None)
+    assert spark.read.option("header", True).csv(str(tmp_path / "all")).count() == 120_000
