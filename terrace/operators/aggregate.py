@@ -65,10 +65,10 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
     """Grouped or global aggregates. Rows with a missing group key are left out.
 
     A group named after a time unit (``month``, ``weekly`` …) that is no column rolls up the date
-    column. Unknown functions and columns are skipped; with nothing left to compute the input comes
-    back unchanged.
+    column. Unknown functions and columns, and measures their column's type refuses, are skipped; with
+    nothing left to compute the input comes back unchanged, or the refusal is raised.
     """
-    measures = []
+    measures, refused = [], None
     triples = parse_aggregations(option(config, "aggregations", default={}))
     for out, function, name in triples:
         if function not in K.AGGREGATES or not (
@@ -76,7 +76,13 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
         ):
             log.warning("aggregate %s = %s(%s) skipped", out, function, name)
             continue
-        measures.append(measure(df, function, name).alias(out))
+        try:
+            measures.append(measure(df, function, name).alias(out))
+        except ValueError as error:
+            log.warning("aggregate %s skipped: %s", out, error)
+            refused = error
+    if refused and not measures:
+        raise refused
     if not measures:
         return df
     groups = as_list(config.get("groupBy"))

@@ -139,11 +139,14 @@ def distinct_values(df: DataFrame, name: str, limit: int = K.DISTINCT_VALUES) ->
 
 
 def display_numbers(df: DataFrame, names: list[str]) -> DataFrame:
-    """Numeric-looking text back to numbers, with six decimals at most."""
+    """A column ``<name>_number`` beside each text column: numeric-looking text as a number.
+
+    Six decimals at most; null where the text is no such number. The text itself stays.
+    """
     shown = {}
     for name in names:
         looks = col(name).rlike(r"^-?\d+(\.\d+)?$") & (F.length(col(name)) <= 20)
-        shown[name] = F.when(looks, F.round(col(name).try_cast("double"), 6))
+        shown[f"{name}_number"] = F.when(looks, F.round(col(name).try_cast("double"), 6))
     return df.withColumns(shown)
 
 

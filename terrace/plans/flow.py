@@ -122,8 +122,11 @@ def run(lake: Lake, spec: dict, frame: DataFrame | None = None, as_of: datetime
     df, was_sorted = frame, False
     summary: dict = {"rows": 0, "columns": [], "outputs": []}
     errors: list[dict] = []
+    summarised = False
     for number, step in enumerate(steps, 1):
         kind, config = step.get("type", "UNKNOWN"), step_config(step)
+        if kind == "OUTPUT" and df is not None and _target(step)[0] == "gold" and not summarised:
+            raise ValueError(f"no gold table: the summarising step before it failed: {errors}")
         if kind == "SOURCE":
             df = frame if frame is not None else load_source(lake, config, source)
         elif df is None:
@@ -152,7 +155,9 @@ def run(lake: Lake, spec: dict, frame: DataFrame | None = None, as_of: datetime
                 df = _apply(df, number, checked, None, errors)
         else:
             was_sorted = kind == "SORT" or (was_sorted and kind not in _SUMMARISING)
+            before = df
             df = _apply(df, number, step, lake.find, errors)
+            summarised |= kind in _SUMMARISING and df is not before
     lake.register(summary["outputs"], as_of)
     if errors:
         summary["step_errors"] = errors

@@ -11,14 +11,15 @@ from pyspark.sql import types as T
 
 from terrace.functions.names import col, record_column, unique_names
 
+#: The separator is judged by this many characters.
 SAMPLE_CHARACTERS = 8192
-SAMPLE_LINES = 200
 _BAD = "__bad_line"
 
 
 def _head(spark: SparkSession, path: str) -> list[str]:
     lines, size = [], 0
-    for row in spark.read.text(path).limit(SAMPLE_LINES).collect():
+    text = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARACTERS).alias("value"))
+    for row in text.limit(SAMPLE_CHARACTERS).collect():
         lines.append(row.value)
         size += len(row.value) + 1
         if size >= SAMPLE_CHARACTERS:
@@ -26,36 +27,51 @@ def _head(spark: SparkSession, path: str) -> list[str]:
     return lines
 
 
-def detect_format(lines: list[str]) -> tuple[str, str]:
-    """Separator and encoding, judged by the first lines read as UTF-8."""
-    encoding = "ISO-8859-1" if any("�" in line for line in lines) else "UTF-8"
+def detect_separator(lines: list[str]) -> str:
     try:
-        separator = csv.Sniffer().sniff("\n".join(lines)[:SAMPLE_CHARACTERS], ",;\t|").delimiter
+        return csv.Sniffer().sniff("\n".join(lines)[:SAMPLE_CHARACTERS], ",;\t|").delimiter
     except csv.Error:
-        separator = ","
-    return separator, encoding
+        return ","
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the input is valid in it, else Latin-1, which every byte is valid in."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+
+
+def read_csv(
+    spark: SparkSession, path: str, multiline: bool = False, encoding: str | None = None
+) -> DataFrame:
     """A delimited file with a header, every column text.
 
     Rows with too many fields are left out, short rows are padded with nulls. Files stay
-    splittable unless ``multiline`` asks for quoted line breaks.
+    splittable unless ``multiline`` asks for quoted line breaks. Naming the ``encoding`` saves the
+    pass over the input that finds it.
     """
     lines = _head(spark, path)
     if not lines:
         return spark.createDataFrame([], T.StructType([]))
-    separator, encoding = detect_format(lines)
-    if encoding != "UTF-8":
+    separator = detect_separator(lines)
+    encoding = encoding or detect_encoding(spark, path)
+    if encoding.upper() != "UTF-8":
         header = spark.read.option("encoding", encoding).option("sep", "\x01").csv(path).first()[0]
     else:
-        header = lines[0].removeprefix("﻿")
+        header = spark.read.text(path).first().value.removeprefix("﻿")
     names = unique_names([
         n or f"Unnamed: {i}" for i, n in enumerate(next(csv.reader([header], delimiter=separator)))
     ])
+    return delimited(spark.read, path, names, separator, encoding, multiline)
+
+
+def delimited(
+    reader, path: str, names: list[str], separator: str = ",", encoding: str = "UTF-8",
+    multiline: bool = False,
+) -> DataFrame:
+    """The rows of delimited files under one bad-row rule, for batch and stream readers."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
     rows = (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("header", True)
         .option("sep", separator)
         .option("encoding", encoding)

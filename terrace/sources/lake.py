@@ -1,8 +1,9 @@
 """Lakehouse tables: parquet snapshots under ``<root>/<layer>/<table>``.
 
-Every overwrite or upsert writes a new snapshot folder. Readers take the newest folder in which Spark
-has left its ``_SUCCESS`` file, so a table changes at once or not at all, nothing is overwritten while
-being read, and a lost executor or driver leaves the old snapshot in place.
+Every write makes a new snapshot folder. Readers take the newest folder in which Spark has left its
+``_SUCCESS`` file, so a table changes at once or not at all, nothing is overwritten while being read, and
+a lost executor or driver leaves the old snapshot in place. An append writes its own rows only: its
+snapshot's manifest lists the earlier folders that hold the others. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from terrace.functions.names import (
     safe_identifier,
 )
 from terrace.functions.numbers import as_number
-from terrace.operators.join import align_columns, repeated_keys, upsert_rows
+from terrace.operators.join import align_columns, append_rows, repeated_keys, upsert_rows
+
+_SCHEMA, _MANIFEST, _APPENDED = "_schema.json", "_manifest.json", "-appended"
 
 
 class Lake:
@@ -63,21 +66,41 @@ class Lake:
     def _new_snapshot(self, layer: str, table: str) -> str:
         return f"{self.folder(layer, table)}/v={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    def _schema_path(self, snapshot: str) -> str:
-        return f"{snapshot}/_schema.json"
-
-    def _save_schema(self, snapshot: str, schema: T.StructType) -> None:
-        fs, target = self._fs(self._schema_path(snapshot))
+    def _save(self, path: str, text: str) -> None:
+        fs, target = self._fs(path)
         out = fs.create(target, True)
-        out.write(bytearray(schema.json(), "utf-8"))
+        out.write(bytearray(text, "utf-8"))
         out.close()
 
-    def _load_schema(self, snapshot: str) -> T.StructType:
-        fs, target = self._fs(self._schema_path(snapshot))
+    def _load(self, path: str) -> str | None:
+        fs, target = self._fs(path)
+        if not fs.exists(target):
+            return None
         stream = fs.open(target)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return T.StructType.fromJson(json.loads(text))
+        return text
+
+    def _save_schema(self, snapshot: str, schema: T.StructType) -> None:
+        self._save(f"{snapshot}/{_SCHEMA}", schema.json())
+
+    def _load_schema(self, snapshot: str) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self._load(f"{snapshot}/{_SCHEMA}")))
+
+    def _manifest(self, snapshot: str) -> dict:
+        """Earlier folders that hold rows of this snapshot too, and the last batch of each stream in it."""
+        return json.loads(self._load(f"{snapshot}/{_MANIFEST}") or '{"folders": [], "batches": {}}')
+
+    def _commit(self, df: DataFrame, snapshot: str, schema: T.StructType, manifest: dict) -> None:
+        """Write a snapshot. Schema and manifest are there before ``_SUCCESS`` makes it visible."""
+        try:
+            self._save_schema(snapshot, schema)
+            self._save(f"{snapshot}/{_MANIFEST}", json.dumps(manifest))
+            df.write.mode("append").parquet(snapshot)
+        except Exception:
+            fs, target = self._fs(snapshot)
+            fs.delete(target, True)
+            raise
 
     # --- reading -----------------------------------------------------------------------------
 
@@ -87,7 +110,9 @@ class Lake:
         if not snapshots:
             raise ValueError(f"table {layer}.{table} not found")
         schema = self._load_schema(snapshots[-1])
-        return self.spark.read.schema(schema).parquet(snapshots[-1])
+        earlier = self._manifest(snapshots[-1])["folders"]
+        folders = [f"{self.folder(layer, table)}/{name}" for name in earlier]
+        return self.spark.read.schema(schema).parquet(*folders, snapshots[-1])
 
     def find(self, name: str) -> DataFrame:
         """A table by ``layer.table``, or by name in the first layer that has it."""
@@ -101,32 +126,51 @@ class Lake:
 
     # --- writing -----------------------------------------------------------------------------
 
-    def overwrite(self, df: DataFrame, layer: str, table: str) -> int:
-        """Write a new snapshot and keep the three before it."""
+    def overwrite(
+        self, df: DataFrame, layer: str, table: str, batch: tuple[str, int] | None = None
+    ) -> int:
+        """Write a new snapshot and keep the three before it, each with what was appended to it."""
         snapshot = self._new_snapshot(layer, table)
         old = self.snapshots(layer, table)
-        # The schema is there before _SUCCESS makes the snapshot visible.
-        self._save_schema(snapshot, _nullable(df.schema))
-        df.write.mode("append").parquet(snapshot)
-        for path in old[: -K.BACKUPS_KEPT]:
-            fs, target = self._fs(path)
-            fs.delete(target, True)
+        batches = self._manifest(old[-1])["batches"] if old else {}
+        manifest = {"folders": [], "batches": {**batches, **dict([batch] if batch else [])}}
+        self._commit(df, snapshot, _nullable(df.schema), manifest)
+        whole = [p for p in old if not p.endswith(_APPENDED)]
+        if len(whole) > K.BACKUPS_KEPT:
+            for path in old[: old.index(whole[-K.BACKUPS_KEPT])]:
+                fs, target = self._fs(path)
+                fs.delete(target, True)
         return self.count(layer, table)
 
-    def append(self, df: DataFrame, layer: str, table: str) -> int:
-        """Add rows to the newest snapshot; new columns are added to the table's schema first."""
+    def append(
+        self, df: DataFrame, layer: str, table: str, batch: tuple[str, int] | None = None
+    ) -> int:
+        """Add rows in a new snapshot. Returns how many.
+
+        New columns are added. Where the types of a column differ, the wider one counts; if that is not
+        the table's, the table is written anew. A value that has no form in that type ends the write
+        with an error, and the table stays as it was. ``batch``, a stream's id and the number of its
+        batch, is recorded with the snapshot: a batch that is there already is not added again.
+        """
         if not self.exists(layer, table):
-            return self.overwrite(df, layer, table)
+            return self.overwrite(df, layer, table, batch)
+        last = self.snapshots(layer, table)[-1]
+        manifest = self._manifest(last)
+        if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
+            return 0
         current = self.read(layer, table)
-        snapshot = self.snapshots(layer, table)[-1]
-        df = _cast_like(align_columns(current, df), current.schema)
-        known = set(current.columns)
-        added = [f for f in _nullable(df.schema) if f.name not in known]
-        if added:
-            self._save_schema(snapshot, T.StructType([*current.schema.fields, *added]))
-        rows = self.count(layer, table)
-        df.write.mode("append").parquet(snapshot)
-        return self.count(layer, table) - rows
+        df = align_columns(current, df)
+        schema = _common_schema(current.schema, df.schema)
+        df = _cast_to(df, schema)
+        if schema.fields[: len(current.columns)] != _nullable(current.schema).fields:
+            rows = current.count()
+            return self.overwrite(append_rows(_cast_to(current, schema), df), layer, table, batch) - rows
+        snapshot = self._new_snapshot(layer, table) + _APPENDED
+        self._commit(df, snapshot, schema, {
+            "folders": [*manifest["folders"], last.rsplit("/", 1)[-1]],
+            "batches": {**manifest["batches"], **dict([batch] if batch else [])},
+        })
+        return self.spark.read.schema(schema).parquet(snapshot).count()
 
     def upsert(self, df: DataFrame, layer: str, table: str, keys: list[str]) -> int:
         """Merge rows by key into a new snapshot. Keys must be unique and present in the batch."""
@@ -141,8 +185,10 @@ class Lake:
         if not usable:
             return self.append(df, layer, table)
         current = self.read(layer, table)
-        df = _cast_like(align_columns(current, df), current.schema)
-        return self.overwrite(upsert_rows(current, df, usable), layer, table)
+        df = align_columns(current, df)
+        schema = _common_schema(current.schema, df.schema)
+        merged = upsert_rows(_cast_to(current, schema), _cast_to(df, schema), usable)
+        return self.overwrite(merged, layer, table)
 
     def write(
         self, df: DataFrame, layer: str, table: str, mode: str = "overwrite", keys=None,
@@ -288,14 +334,53 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
-def _cast_like(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Shared columns in the table's types, so that all its files agree.
+def _common_schema(table: T.StructType, batch: T.StructType) -> T.StructType:
+    """The table's columns in types that hold both sides, then the columns only the batch has."""
+    incoming = {f.name: f.dataType for f in batch}
+    fields = [(f.name, _wider(f.dataType, incoming.get(f.name, f.dataType))) for f in table]
+    known = set(table.names)
+    fields += [(f.name, f.dataType) for f in batch if f.name not in known]
+    return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
+
+
+def _wider(table: T.DataType, batch: T.DataType) -> T.DataType:
+    """Numbers widen from integers over decimals to doubles, dates to timestamps; else the table's type."""
+    if table == batch or not (is_number(table) and is_number(batch)):
+        dates = isinstance(table, T.DateType) and isinstance(batch, (T.TimestampType, T.TimestampNTZType))
+        return batch if dates else table
+    if isinstance(table, T.FractionalType) and isinstance(batch, T.FractionalType) or T.DecimalType in (
+        type(table), type(batch)
+    ):
+        if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (table, batch)):
+            return T.DoubleType()
+        whole = max(_DIGITS.get(type(t)) or t.precision - t.scale for t in (table, batch))
+        scale = max(getattr(t, "scale", 0) for t in (table, batch))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (table, batch)):
+        return T.DoubleType()
+    return max(table, batch, key=lambda t: _DIGITS[type(t)])
+
+
+#: Digits that hold every value of an integer type.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
-    Text that holds no number or date becomes null, as everywhere in this library.
-    """
+
+def _cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The frame's columns in the types of a schema. A value that would be lost is an error of its task."""
     types = {f.name: f.dataType for f in schema}
-    return df.select(*[
-        (col(f.name).try_cast(types[f.name]) if types.get(f.name, f.dataType) != f.dataType
-         else col(f.name)).alias(f.name)
-        for f in df.schema
-    ])
+
+    def cast(f: T.StructField) -> Column:
+        value, wanted = col(f.name), types[f.name]
+        if wanted == f.dataType:
+            return value
+        new = value.try_cast(wanted)
+        lost = new.isNull()
+        if isinstance(f.dataType, T.LongType) and isinstance(wanted, T.DoubleType):
+            lost = lost | ~(new.try_cast("bigint").eqNullSafe(value))
+        message = F.concat(
+            F.lit(f"column {f.name}: not of type {wanted.simpleString()}: "), value.cast("string")
+        )
+        failed = F.raise_error(message).cast(wanted)
+        return F.when(value.isNotNull() & lost, failed).otherwise(new).alias(f.name)
+
+    return df.select(*map(cast, df.schema))

@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from terrace import constants as K
 from terrace.operators.join import latest_per_key
+from terrace.sources.files import delimited
 from terrace.sources.lake import Lake
 
 
 def landed_files(
     spark: SparkSession, path: str, columns: list[str], source_id: int, **options
 ) -> DataFrame:
-    """A stream of the rows of new delimited files, all text, with the bronze columns."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
-    rows = spark.readStream.schema(schema).options(**{"header": "true", **options}).csv(path)
+    """A stream of the rows of new delimited files, all text, with the bronze columns.
+
+    Bad rows are treated as by ``read_csv``. ``sep`` and ``encoding`` are taken from the options.
+    """
+    separator, encoding = options.pop("sep", ","), options.pop("encoding", "UTF-8")
+    rows = delimited(spark.readStream.options(**options), path, columns, separator, encoding)
     return rows.withColumns({
         K.INGESTED_AT: F.current_timestamp(), K.SOURCE_ID: F.lit(int(source_id)),
     })
 
 
-def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append what has landed since the last run, then stop. The file sink writes rows once."""
+def append_stream(
+    stream: DataFrame, lake: Lake, layer: str, table: str, checkpoint: str
+) -> StreamingQuery:
+    """Append what has landed since the last run to a table, then stop.
+
+    The number of the batch is recorded with its rows, so a batch that runs again is added once.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        stream_id = json.loads(lake._load(f"{checkpoint}/metadata"))["id"]
+        lake.append(batch, layer, table, (stream_id, batch_id))
+
     return (
-        stream.writeStream.format("parquet")
-        .option("path", target)
+        stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

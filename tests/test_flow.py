@@ -101,3 +101,16 @@ def test_top_ten_template(spark):
 def test_query_against_sql(spark, name):
     outcome = compare(spark, oracle_connection(SF), name, SF)
     assert outcome.startswith(("ok", "rows only")), outcome
+
+
+def test_no_gold_table_after_a_failed_summary(spark, lake):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "k string, n int")
+    good = [step("AGGREGATE", 1, groupBy="k", aggregations="s = SUM(k)\nt = SUM(n)"),
+            {**step("OUTPUT", 2), "outputLayer": "GOLD", "outputTable": "g"}]
+    run(lake, {"steps": good}, df, AT)
+    assert [(r.k, r.t) for r in lake.read("gold", "g").collect()] == [("a", 3)]
+    bad = [step("AGGREGATE", 1, groupBy="k", aggregations="s = SUM(k)"),
+           {**step("OUTPUT", 2), "outputLayer": "GOLD", "outputTable": "h"}]
+    with pytest.raises(ValueError, match="no gold table"):
+        run(lake, {"steps": bad}, df, AT)
+    assert not lake.exists("gold", "h")

@@ -177,12 +177,13 @@ def test_streams(spark, lake, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
     write(landing / "1.csv", "id,v\n1,a\n2,b\n")
-    out, mark = str(tmp_path / "out"), str(tmp_path / "cp")
-    for rows, extra in ((2, None), (3, "id,v\n2,c\n")):
+    mark = str(tmp_path / "cp")
+    for rows, extra in ((2, None), (3, "id,v\n2,c\n7,8,9\n")):
         if extra:
             write(landing / "2.csv", extra)
-        append_stream(landed_files(spark, str(landing), ["id", "v"], 5), out, mark).awaitTermination()
-        assert spark.read.parquet(out).count() == rows
+        stream = landed_files(spark, str(landing), ["id", "v"], 5)
+        append_stream(stream, lake, "bronze", "landed", mark).awaitTermination()
+        assert lake.read("bronze", "landed").count() == rows
     stream = landed_files(spark, str(landing), ["id", "v"], 5, maxFilesPerTrigger="1")
     upsert_stream(stream.drop("_ingested_at"), lake, "silver", "s", ["id"], str(tmp_path / "cp2"),
                   order=["v"]).awaitTermination()
@@ -200,3 +201,55 @@ def test_malformed_array_is_an_error(spark, tmp_path):
 def test_export_without_limit_writes_all(spark, tmp_path):
     export.export_table(spark.range(120_000), str(tmp_path / "all"), limit=None)
     assert spark.read.option("header", True).csv(str(tmp_path / "all")).count() == 120_000
+
+
+def test_append_and_upsert_lose_no_values(spark, lake):
+    lake.overwrite(spark.createDataFrame([(1, 5)], "id int, n int"), "silver", "t")
+    for bad in ("abc", "7.5"):
+        batch = spark.createDataFrame([(1, bad)], "id int, n string")
+        with pytest.raises(Exception, match="not of type int"):
+            lake.append(batch, "silver", "t")
+        with pytest.raises(Exception, match="not of type int"):
+            lake.upsert(batch, "silver", "t", ["id"])
+    assert [tuple(r) for r in lake.read("silver", "t").collect()] == [(1, 5)]
+    assert lake.append(spark.createDataFrame([(2, 5_000_000_000)], "id int, n bigint"), "silver", "t") == 1
+    assert lake.append(spark.createDataFrame([(3, 0.5)], "id int, n double"), "silver", "t") == 1
+    lake.upsert(spark.createDataFrame([(1, "6")], "id int, n string"), "silver", "t", ["id"])
+    got = lake.read("silver", "t").orderBy("id")
+    assert dict(got.dtypes)["n"] == "double"
+    assert [tuple(r) for r in got.collect()] == [(1, 6.0), (2, 5e9), (3, 0.5)]
+    with pytest.raises(Exception, match="not of type double"):
+        lake.append(spark.createDataFrame([(4, 2**53 + 1)], "id int, n bigint"), "silver", "t")
+
+
+def test_append_is_a_snapshot_of_its_own(spark, lake):
+    lake.overwrite(spark.range(2), "silver", "t")
+    before = lake.read("silver", "t")
+    lake.append(spark.range(3), "silver", "t")
+    lake.append(spark.range(4), "silver", "t")
+    assert before.count() == 2 and lake.read("silver", "t").count() == 9
+    failing = spark.range(1).selectExpr("cast(raise_error('no') as bigint) as id")
+    with pytest.raises(Exception, match="no"):
+        lake.append(failing, "silver", "t")
+    assert lake.read("silver", "t").count() == 9
+    for n in range(1, 6):
+        lake.overwrite(spark.range(n), "silver", "t")
+    assert len(lake.snapshots("silver", "t")) == 4
+    assert lake.append(spark.range(5), "silver", "t", ("s", 0)) == 5
+    assert lake.append(spark.range(5), "silver", "t", ("s", 0)) == 0
+    assert lake.append(spark.range(5), "silver", "t", ("s", 1)) == 5
+    assert lake.read("silver", "t").count() == 15
+
+
+def test_encoding_is_judged_on_the_whole_input(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "a;b\n" + "x;1\n" * 20_000 + "café;2\n", "latin-1")
+    assert read_csv(spark, path).filter("b = 2").first().a == "café"
+    path = write(tmp_path / "b.csv", "a;b\n" + "x;1\n" * 20_000 + "café;2\n")
+    assert read_csv(spark, path).filter("b = 2").first().a == "café"
+
+
+def test_display_numbers_keeps_text(spark):
+    from terrace.operators.bi import display_numbers
+
+    rows = display_numbers(spark.createDataFrame([("abc",), ("1.23456789",)], "v string"), ["v"]).collect()
+    assert [tuple(r) for r in rows] == [("abc", None), ("1.23456789", 1.234568)]

@@ -236,8 +236,8 @@ DASHBOARDS = {
         with w as (select o_orderkey, o_custkey / 7 as ratio, case when o_orderkey % 10 in (7, 8)
           then {_CENTS} // 100 end as whole from orders)
         select o_orderkey, case when whole < 1000 then whole::double
-          when whole < 1000000 then whole / 1000.0 end::double as amount,
-          case when length(cast(ratio as varchar)) <= 20 then round(ratio, 6) end as ratio from w""",
+          when whole < 1000000 then whole / 1000.0 end::double as amount_number,
+          case when length(cast(ratio as varchar)) <= 20 then round(ratio, 6) end as ratio_number from w""",
 }
 
 
@@ -463,6 +463,19 @@ TABLES = {
         select cast(o_orderkey as varchar) as key, case when o_orderpriority <> '5-LOW'
           then o_orderstatus || ',' end as status
         from orders where o_orderpriority not in ('2-HIGH', '1-URGENT')""",
+    "csv_latin1_late": """
+        select cast(c_custkey as varchar) as c_custkey,
+          c_name || case when c_custkey > 1000 then ' José' else '' end as c_name from customer""",
+    "stream_bad_rows": """
+        select cast(o_orderkey as varchar) as key, case when o_orderpriority <> '5-LOW'
+          then o_orderstatus || ',' end as status, 4 as _source_id
+        from orders where o_orderpriority not in ('2-HIGH', '1-URGENT')""",
+    "append_widen": """
+        select cast(o_orderkey as integer) as o_orderkey, o_custkey * f as n
+        from orders, (values (cast(1 as bigint)), (3000000000), (-1)) as t(f)""",
+    "records_array": """
+        select cast(event_id as varchar) as event_id, event_type, replace(props, ' ', '') as props
+        from events""",
     "records_scan": """
         select cast(event_id as varchar) as event_id, event_type, replace(props, ' ', '') as props
         from events""",

@@ -530,7 +530,7 @@ def read_only_sql(spark, sf):
 
 def display_numbers(spark, sf):
     dirty = _dirty_orders(spark, sf).select("o_orderkey", "amount", (F.col("o_custkey") / 7).cast("string").alias("ratio"))
-    return bi.display_numbers(dirty, ["amount", "ratio"])
+    return bi.display_numbers(dirty, ["amount", "ratio"]).drop("amount", "ratio")
 
 
 # --- analytics ---------------------------------------------------------------------------------------
@@ -716,9 +716,16 @@ def csv_scan(spark, sf):
     return read_csv(spark, path)
 
 
-def csv_bad_rows(spark, sf):
-    """Raw files in which some lines have too few or too many fields."""
+def csv_latin1_late(spark, sf):
+    """A Latin-1 file whose accents come after the lines that a sample would show."""
     path = _scratch(spark)
+    name = F.when(F.col("c_custkey") > 1000, F.concat("c_name", F.lit(" José"))).otherwise(F.col("c_name"))
+    customers = _table(spark, sf, "customer").select("c_custkey", name.alias("c_name"))
+    customers.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_csv(spark, path)
+
+
+def _raw_lines(spark, sf, path, wanted):
     key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     line = (
         F.when(F.col("o_orderpriority") == "5-LOW", key)
@@ -726,9 +733,15 @@ def csv_bad_rows(spark, sf):
         .when(F.col("o_orderpriority") == "1-URGENT", F.concat_ws(",", key, status, F.lit("")))
         .otherwise(F.concat(key, F.lit(',"'), status, F.lit(',"')))
     )
-    lines = _table(spark, sf, "orders").select(line.alias("key,status"))
+    lines = _table(spark, sf, "orders").filter(wanted).select(line.alias("key,status"))
     # One unquoted column, so each file holds the lines as they are under a header line.
-    lines.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    lines.write.mode("append").option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+
+
+def csv_bad_rows(spark, sf):
+    """Raw files in which some lines have too few or too many fields."""
+    path = _scratch(spark)
+    _raw_lines(spark, sf, path, F.lit(True))
     return read_csv(spark, path)
 
 
@@ -740,6 +753,26 @@ def records_scan(spark, sf):
     return read_records(spark, path, lines=True)
 
 
+def records_array(spark, sf):
+    """JSON files that hold one array each, of a thousand events at most."""
+    path = _scratch(spark)
+    record = F.struct("event_id", "event_type", F.from_json("props", "map<string,int>").alias("props"))
+    arrays = _table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(
+        F.to_json(F.collect_list(record)).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return read_records(spark, path)
+
+
+def append_widen(spark, sf):
+    """A table of ints that takes bigints, then texts that hold numbers."""
+    lake = _lake(spark)
+    orders = _table(spark, sf, "orders").select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int").alias("n"))
+    lake.overwrite(orders, "silver", "t")
+    lake.append(orders.select("o_orderkey", (F.col("n") * F.lit(3_000_000_000)).alias("n")), "silver", "t")
+    lake.append(orders.select("o_orderkey", F.concat(F.lit("-"), "n").alias("n")), "silver", "t")
+    return lake.read("silver", "t")
+
+
 def bronze_ingest(spark, sf):
     lake = _lake(spark)
     path = _scratch(spark)
@@ -838,11 +871,24 @@ def incremental_ingest(spark, sf):
     """Customers landed as files and taken up by a stream."""
     from terrace.streaming.ingest import append_stream, landed_files
 
-    landing, out, mark = _scratch(spark), _scratch(spark), _scratch(spark)
+    landing, lake, mark = _scratch(spark), _lake(spark), _scratch(spark)
     customers = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     customers.write.option("header", True).csv(landing)
-    append_stream(landed_files(spark, landing, customers.columns, 3), out, mark).awaitTermination()
-    return spark.read.parquet(out).drop(K.INGESTED_AT)
+    for _ in range(2):  # the second run finds nothing new
+        stream = landed_files(spark, landing, customers.columns, 3)
+        append_stream(stream, lake, "bronze", "customers", mark).awaitTermination()
+    return lake.read("bronze", "customers").drop(K.INGESTED_AT)
+
+
+def stream_bad_rows(spark, sf):
+    """The raw lines of ``csv_bad_rows`` as a stream, in two landings."""
+    from terrace.streaming.ingest import append_stream, landed_files
+
+    landing, lake, mark = _scratch(spark), _lake(spark), _scratch(spark)
+    for part in (0, 1):
+        _raw_lines(spark, sf, landing, F.col("o_orderkey") % 2 == part)
+        append_stream(landed_files(spark, landing, ["key", "status"], 4), lake, "bronze", "lines", mark).awaitTermination()
+    return lake.read("bronze", "lines").drop(K.INGESTED_AT)
 
 
 def incremental_upsert(spark, sf):
@@ -860,6 +906,7 @@ def incremental_upsert(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
+        append_widen, csv_latin1_late, records_array, stream_bad_rows,
         status_summary, clean_currency, strip_dedup, infer_types, date_formats, fill_nulls_constant,
         fill_nulls_template, harden_types, validate_flag, validate_drop, validate_rejects,
         validate_compare, validate_unique, outlier_iqr, outlier_zscore, categorize_tiers,
