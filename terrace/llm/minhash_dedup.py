@@ -8,8 +8,10 @@ Equal sets are one class before anything else. A half-key that no other class ha
 table key, so pairs are formed only of shared ones. Within a bucket not all pairs are compared: every
 class is compared with the bucket's hub first, the class whose buckets are fullest, then with a leader of each bucket's own.
 Classes already known to be connected are not compared again. What is left, classes of different components that share a
-table, is compared pair by pair, each pair once, so no link that could join two components is lost. All links are
-confirmed on the full sets of 64-bit shingle hashes.
+table, is compared pair by pair, each pair once, so no link that could join two components is lost. Two exact bounds keep
+texts that merely resemble a large group out of that: shingles that no other class left over has cannot be shared, so a class
+with too many of them is left out before pairs are formed; and two sets share at most the sum, over ``PARTS`` parts of the hash
+range, of the smaller of their counts. All links are confirmed on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import staged, text_of, words_of
@@ -31,6 +33,7 @@ _HASHES = 2 * SIDE * ROWS
 #: Odd factors of the minhash functions, from a fixed seed.
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 15
+PARTS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,11 +145,13 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int,
             pairs = known.join(leaders, "table_key").filter((F.col("c") != F.col("c2")) & close).select("node", "node2")
         else:
             # Each pair once: at the first of the half-keys that both have, if they share one of the other side, too.
-            rest = known.select("node", "c").distinct().join(halved, "node")
+            rest = _linkable(known.select("node", "c").distinct(), sets, similar).join(halved, "node")
             one = rest.select(F.explode("a").alias("key"), "*")
-            two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c")))
-            pairs = one.join(two, "key").filter((F.col("c") < F.col("c2")) & close & F.arrays_overlap("b", "b2") & (
-                F.array_min(F.array_intersect("a", "a2")) == F.col("key"))).select("node", "node2")
+            two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c", "usable", "parts")))
+            pairs = one.join(two, "key").filter(
+                (F.col("c") < F.col("c2")) & close & _within(F.least("usable", "usable2"), similar)
+                & F.arrays_overlap("b", "b2") & (F.array_min(F.array_intersect("a", "a2")) == F.col("key"))
+                & _within(F.aggregate(F.zip_with("parts", "parts2", F.least), F.lit(0), lambda s, x: s + x), similar)).select("node", "node2")
         pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -159,22 +164,39 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int,
     return component
 
 
+def _within(shared: Column, similar: int) -> Column:
+    """Whether sets of n and n2 shingles can be similar with ``shared`` common ones at most."""
+    return 100 * shared >= similar * (F.col("n") + F.col("n2") - shared)
+
+
+def _linkable(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Classes that can be linked with another one of ``rest``, with the shingles that another one has, too, and counts by part."""
+    own = rest.join(sets, "node")
+    alone = (own.select("node", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+             .filter("k = 1").groupBy("node").agg(F.count("*").alias("alone")))
+    size = F.size("members")
+    return staged(own.join(alone, "node", "left").withColumn("usable", size - F.coalesce("alone", F.lit(0)))
+                  .filter(100 * F.col("usable") >= similar * size).select("node", "c", "usable", "parts"))
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, id_type: str) -> DataFrame:
     """The full sets of some classes, taken from the documents anew."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                nodes, found = [], []
+                nodes, found, parts = [], [], []
                 part = batch.slice(at, 64)
                 for node, value, set_id in zip(*(part.column(k).to_pylist() for k in range(3))):
                     own = shingles(value, words)
                     if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == set_id:
                         nodes.append(node), found.append(own.view(np.int64))
-                yield pa.record_batch([pa.array(nodes, part.schema.field(0).type), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
+                        parts.append(np.bincount((own % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                yield pa.record_batch([pa.array(nodes, part.schema.field(0).type), pa.array(found, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                                      names=["node", "members", "parts"])
 
     needed = texts.join(wanted.withColumnRenamed("node", "_id"), "_id").select("_id", "_text", "set_id")
-    return needed.mapInArrow(collect, f"node {id_type}, members array<bigint>").dropDuplicates(["node"])
+    return needed.mapInArrow(collect, f"node {id_type}, members array<bigint>, parts array<int>").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
