@@ -151,7 +151,7 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int,
             pairs = one.join(two, "key").filter(
                 (F.col("c") < F.col("c2")) & close & _within(F.least("usable", "usable2"), similar)
                 & F.arrays_overlap("b", "b2") & (F.array_min(F.array_intersect("a", "a2")) == F.col("key"))
-                & _within(F.aggregate(F.zip_with("parts", "parts2", F.least), F.lit(0), lambda s, x: s + x), similar)).select("node", "node2")
+                & _within(F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x), similar)).select("node", "node2")
         pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
