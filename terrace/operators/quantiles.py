@@ -1,23 +1,24 @@
 """Exact quantiles and outlier fences without gathering a column in one task.
 
-A sketch first brackets each quantile; only the few values inside the brackets are then counted
-and ranked, so memory stays bounded whatever the size of the table.
+A sketch first brackets each quantile; the values inside the brackets are then counted and ranked
+across range partitions, so no task holds a bracket whatever the size of the table.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace import constants as K
 from terrace.functions.names import col
+from terrace.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
-BRACKET_ROWS = 1_000_000  # most rows of one bracket that a single task has to order
-CUTS = 1_000
 
 
 @dataclass(eq=False)
@@ -29,7 +30,6 @@ class _Target:
     count: int
     low: float
     high: float
-    rows: float  # estimated rows inside the bracket
     below: int = 0
     inside: int = 0
 
@@ -75,80 +75,85 @@ def exact_quantiles(
             if first[f"n{i}"]:
                 low = first[f"q{i}"][2 * j] if p > slack else first[f"min{i}"]
                 high = first[f"q{i}"][2 * j + 1] if p < 1 - slack else first[f"max{i}"]
-                rows = first[f"n{i}"] * 6 / SKETCH_ACCURACY
-                targets.append(_Target(n, p, first[f"n{i}"], low, high, rows))
+                targets.append(_Target(n, p, first[f"n{i}"], low, high))
     spans = {n: (first[f"min{i}"], first[f"max{i}"]) for i, n in enumerate(columns)}
     while targets:
-        ready = _count(doubles, targets, spans)
+        missed = _count(doubles, targets)
+        ready = [t for t in targets if t not in missed]
         for target, value in zip(ready, _read(doubles, ready), strict=True):
             found[target.name].values[probs.index(target.prob)] = value
-        targets = [t for t in targets if t not in ready]
+        for t in missed:
+            t.low, t.high = spans[t.name]
+        targets = missed
     return found
 
 
-def _count(doubles: DataFrame, targets: list[_Target], spans: dict) -> list[_Target]:
-    """Count the rows below and inside every bracket, in one pass.
-
-    Returns the targets whose bracket holds both ranks and few enough rows. The brackets of the
-    others are narrowed, or widened where the sketch missed the ranks.
-    """
-    cuts = [c / CUTS for c in range(CUTS + 1)]
+def _count(doubles: DataFrame, targets: list[_Target]) -> list[_Target]:
+    """Count the rows below and inside every bracket, in one pass; returns targets with a rank outside."""
     measures = []
     for i, t in enumerate(targets):
-        value = col(t.name)
-        inside = value.between(t.low, t.high)
         measures += [
-            F.count_if(value < t.low).alias(f"below{i}"),
-            F.count_if(inside).alias(f"inside{i}"),
+            F.count_if(col(t.name) < t.low).alias(f"below{i}"),
+            F.count_if(col(t.name).between(t.low, t.high)).alias(f"inside{i}"),
         ]
-        if t.rows > BRACKET_ROWS:
-            sketch = F.percentile_approx(F.when(inside, value), cuts, SKETCH_ACCURACY)
-            measures.append(sketch.alias(f"cuts{i}"))
     row = doubles.agg(*measures).first()
-    ready = []
     for i, t in enumerate(targets):
         t.below, t.inside = row[f"below{i}"], row[f"inside{i}"]
-        cut = t.rows > BRACKET_ROWS and row[f"cuts{i}"]
-        if not t.below <= t.ranks[0] <= t.ranks[1] < t.below + t.inside:
-            (t.low, t.high), t.rows = spans[t.name], t.count
-        elif t.inside <= BRACKET_ROWS or t.low == t.high:
-            ready.append(t)
-        elif cut:
-            share = [(r - t.below) / t.inside * CUTS for r in t.ranks]
-            left = max(math.floor(share[0]) - 2, 0)
-            right = min(math.ceil(share[1]) + 2, CUTS)
-            if (cut[left], cut[right]) == (t.low, t.high):
-                ready.append(t)  # one value fills the bracket: few distinct values are left
-            t.low, t.high = cut[left], cut[right]
-            t.rows = t.inside * (right - left) / CUTS
-        else:
-            t.rows = t.inside
-    return ready
+    return [t for t in targets if not t.below <= t.ranks[0] <= t.ranks[1] < t.below + t.inside]
 
 
 def _read(doubles: DataFrame, targets: list[_Target]) -> list[float]:
     """Read the two ranks of each quantile from the rows inside its bracket.
 
-    The aggregate keeps distinct values with their counts, so repeated values cost nothing. Asking
-    for the middle of a rank's step leaves no room for rounding.
+    Equal values are counted before the shuffle, the counts are range-partitioned, and only the
+    partitions that hold a rank are ordered. The partition numbers are stored with the rows, so all
+    uses of them agree.
     """
-    names = list(doubles.columns)
-    measures = []
-    for i, t in enumerate(targets):
-        if t.low < t.high:
-            value = f"c{names.index(t.name)}"
-            inside = f"case when {value} between {t.low!r}D and {t.high!r}D then {value} end"
-            steps = ", ".join(f"{(r - t.below + 0.5) / t.inside!r}D" for r in t.ranks)
-            picked = f"percentile_disc(array({steps})) within group (order by {inside})"
-            measures.append(F.expr(picked).alias(f"v{i}"))
-    row = None
-    if measures:
-        row = doubles.toDF(*[f"c{k}" for k in range(len(names))]).agg(*measures).first()
-    out = []
-    for i, t in enumerate(targets):
-        low, high = row[f"v{i}"] if t.low < t.high else (t.low, t.low)
-        out.append(low + (high - low) * (t.position - t.ranks[0]))
-    return out
+    values: dict[int, tuple[float, float]] = {
+        i: (t.low, t.low) for i, t in enumerate(targets) if t.low == t.high
+    }
+    wide = {i: t for i, t in enumerate(targets) if i not in values}
+    if wide:
+        spark = doubles.sparkSession
+        inside = {i: col(t.name).between(t.low, t.high) for i, t in wide.items()}
+        entries = F.array(*[
+            F.when(inside[i], F.struct(F.lit(i).alias("target"), col(t.name).alias("value")))
+            for i, t in wide.items()
+        ])
+        blocks = cut_lineage(
+            doubles.filter(reduce(operator.or_, inside.values()))
+            .select(F.inline(F.filter(entries, lambda x: x.isNotNull())))
+            .groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
+            .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "target", "value")
+            .withColumn("part", F.spark_partition_id())
+        )
+        # One row per partition and target that meet.
+        before = Window.partitionBy("target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.groupBy("target", "part").agg(F.sum("n").alias("rows")).select(
+            "target", "part", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
+        )
+        ranks = F.create_map(*[
+            x for i, t in wide.items()
+            for x in (F.lit(i), F.array(*[F.lit(r - t.below).cast("long") for r in sorted(set(t.ranks))]))
+        ])
+        holding = starts.withColumn("rank", F.explode(ranks[F.col("target")])).filter(
+            (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("rows"))
+        ).groupBy("target", "part", "start").agg(F.collect_set("rank").alias("ranks"))
+        within = Window.partitionBy("target", "part").orderBy("value")
+        upto = F.col("start") + F.sum("n").over(within)
+        picked = (
+            blocks.join(F.broadcast(holding), ["target", "part"]).withColumn("upto", upto)
+            .select("target", "value", F.explode("ranks").alias("rank"), "upto", "n")
+            .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        )
+        at = {(r.target, r["rank"]): r.value for r in picked.collect()}  # two per target at most
+        for i, t in wide.items():
+            low, high = (at[i, r - t.below] for r in t.ranks)
+            values[i] = (low, high)
+    return [
+        low + (high - low) * (t.position - t.ranks[0])
+        for t, (low, high) in ((t, values[i]) for i, t in enumerate(targets))
+    ]
 
 
 def iqr_fences(

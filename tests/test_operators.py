@@ -229,9 +229,9 @@ def test_latest_search_page(spark):
 # --- analytics ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40, 3])
-def test_exact_quantiles_against_sorting(spark, monkeypatch, limit):
-    monkeypatch.setattr(Q, "BRACKET_ROWS", limit)
+@pytest.mark.parametrize("accuracy", [10_000, 100, 10])
+def test_exact_quantiles_against_sorting(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", accuracy)  # wider brackets hold more values
     # A third of all rows hold one value.
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.pmod(F.hash("id"), F.lit(100000)) / 7).alias("v"))
@@ -246,6 +246,20 @@ def test_exact_quantiles_against_sorting(spark, monkeypatch, limit):
     assert (empty.count, empty.values) == (0, [None])
 
 
+def test_many_quantiles_beside_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 50)
+    df = spark.range(4000).select(F.when(F.col("id") < 990, -1.0 - F.col("id")).when(F.col("id") < 2500, 0.0).otherwise(F.col("id") / 3).alias("v"))
+    data = sorted(r.v for r in df.collect())
+    names = [f"v{i}" for i in range(10)]
+    probs = [0.25, 0.2475, 0.62, 0.75]
+    got = Q.exact_quantiles(df, {n: F.col("v") + i for i, n in enumerate(names)}, probs)
+    for i, n in enumerate(names):
+        for p, value in zip(probs, got[n].values, strict=True):
+            at = (len(data) - 1) * p
+            low, high = data[int(at)] + i, data[min(int(at) + 1, len(data) - 1)] + i
+            assert value == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 150.0), (4, 180.0), (5, 5000.0)], "id int, sales double")
     row = quality(df).first()
