@@ -2,9 +2,11 @@
 
 Generators with high recall propose overlapping spans: the raw patterns of the base kinds, and looser ones (telephone and
 identity numbers, account numbers, addresses written out). Boosted trees score each candidate by its format and its surroundings.
-They are trained on the candidates that a checksum or range settles, ``TRAIN`` of them at most; half of
-these calibrate the threshold of the least wanted precision. Base spans stay whatever the trees say; other candidates are added
-where they reach the threshold and touch no base span.
+They are trained on the candidates that are settled, ``TRAIN`` of them at most; half of
+these calibrate the threshold of the least wanted precision. A checksum or range settles a candidate of a base kind, unless it fails and
+overlaps a looser one: it may be that one's digits. Looser candidates are settled by clues: a valid format and words of the kind before it
+count for it, words of other numbers (orders, parts) against it. Base spans stay whatever the trees say; other candidates are added where
+the clues settle them for good or the trees' threshold is reached, and they touch no base span.
 
 All is DataFrame functions and Spark's own trees. A text is scanned once; candidates are staged and scored as rows.
 """
@@ -33,8 +35,17 @@ TELEPHONE = r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(
 IDENTITY = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])"
 ADDRESS = r"(?i:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[a-z]{2,24})"
+#: Words that announce a kind, and words of numbers that are not personal.
+NEAR = {
+    "telephone": "phones?|telephone|tel|calls?|mobile|cell|fax|ring|reach|contact|whatsapp|sms|text",
+    "identity": "ssn|social|security|identity|taxpayer|tin|id",
+    "account": "account|acct|iban|bank|transfer|pay",
+    "address": "e-?mail|mail|contact|address|write|reach|send",
+}
+OTHER = "orders?|invoice|part|item|serial|version|ref|reference|isbn|sku|model|ticket|lot|batch|tracking|product"
+_words = lambda x: f"(?i)(?<![A-Za-z])(?:{x})(?![A-Za-z])"
 _WORDS = "(?i)phone|tel|call|mobile|fax|card|visa|account|iban|ssn|social|mail|contact|address"
-FEATURES = ("length", "digits", "letters", "groups", "luhn", "range", "plus", "at", "dots", "before", "after", "words")
+FEATURES = ("length", "digits", "letters", "groups", "luhn", "range", "plus", "at", "dots", "before", "after", "words", "kind", "format", "near", "other")
 
 
 def _digits(x: Column) -> Column:
@@ -59,6 +70,30 @@ def _valid(x: Column) -> Column:
             .otherwise((n >= 10) & (n <= 15)))
 
 
+def _mod97(x: Column) -> Column:
+    """Whether an account number passes its check: the remainder of its turned digits is 1."""
+    plain = F.regexp_replace(x, "\\x20", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.substring(plain, 1, 4))
+    add = lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
+
+
+def _before(text: Column, x: Column) -> Column:
+    return F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+
+
+def _clues(text: Column, x: Column) -> tuple[Column, Column, Column]:
+    """Of a loose candidate: format (0 wrong, 1 possible, 2 unmistakable), words of its kind before it, words of other numbers."""
+    match, kind, before = x["match"], x["kind"], _before(text, x)
+    shape = (
+        F.when(kind == "telephone", F.when(match.rlike(r"^\([2-9][0-9]{2}\)"), 2).when(match.rlike("^[2-9][0-9]{2}[^0-9)]"), 1).otherwise(0))
+        .when(kind == "identity", F.when(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), 2).otherwise(0))
+        .when(kind == "account", F.when(_mod97(match), 2).otherwise(0))
+        .when(kind == "address", F.when(match.rlike(r"(?i)[\[(]at[\])].*[\[(]dot[\])]"), 2).otherwise(1)).otherwise(0))
+    near = F.coalesce(*(F.when(kind == k, before.rlike(_words(w)).cast("int")) for k, w in NEAR.items()), F.lit(0))
+    return shape, near, before.rlike(_words(OTHER)).cast("int")
+
+
 def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
     """Every row and column of ``docs`` with ``base`` and ``spans``: arrays of what was found, sorted.
 
@@ -80,13 +115,19 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
         spans(value, ACCOUNT, "account", 6, digit & value.rlike(ACCOUNT)),
         spans(value, ADDRESS, "address", 7, value.rlike(r"(?i)[\[(\x20]at[\])\x20]") & value.rlike(ADDRESS))).alias("loose"))
     judged = raw.select("*", F.filter("raw", _valid).alias("good"))
-    # Short runs of digits that no check settles are no candidates; all others are.
-    settled = F.filter("raw", lambda x: _valid(x) | ((x["kind"] != "card") | (F.char_length(_digits(x["match"])) >= 9)))
+    # Short runs of digits that no check settles are no candidates, nor are failing runs that may be part of a loose one; all others are.
+    settled = F.filter("raw", lambda x: _valid(x) | (
+        ((x["kind"] != "card") | (F.char_length(_digits(x["match"])) >= 9)) & ~F.exists("loose", lambda g: (g["s"] < x["e"]) & (x["s"] < g["e"]))))
     free = F.filter("loose", lambda x: ~F.exists("good", lambda g: (g["s"] < x["e"]) & (x["s"] < g["e"])))
-    around = lambda x: F.struct(
-        x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"),
-        (x["rank"] < BASE).alias("settled"), F.when(x["rank"] < BASE, _valid(x)).otherwise(False).alias("good"),
-        F.array(*(c.cast("double") for c in _features(value, x))).alias("f"))
+
+    def around(x: Column) -> Column:
+        clues = _clues(value, x)
+        points, base = clues[0] + clues[1] - clues[2], x["rank"] < BASE
+        return F.struct(
+            x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"),
+            (base | (points != 1)).alias("settled"), F.when(base, _valid(x)).otherwise(points > 1).alias("good"),
+            F.array(*(c.cast("double") for c in (*_features(value, x), x["rank"], *clues))).alias("f"))
+
     candidates = F.transform(F.concat(settled, free), around)
     bare = lambda c: F.transform(c, lambda x: x.withField("match", F.lit("")))  # noqa: E731  nothing personal is written
     found = staged(judged.select(
@@ -105,11 +146,11 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
 
 def _features(text: Column, x: Column) -> list[Column]:
-    """What the trees see of a candidate, in the order of ``FEATURES``."""
+    """What the trees see of a candidate besides its kind and clues, in the order of ``FEATURES``."""
     match = x["match"]
     digits = _digits(match)
     n = F.char_length(digits)
-    before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+    before = _before(text, x)
     after = F.substring(text, x["e"] + 1, F.lit(1))
     size = lambda pattern: F.char_length(match) - F.char_length(F.regexp_replace(match, pattern, ""))
     kind_of = lambda c: F.when(c.rlike("[A-Za-z]$"), 2).when(c.rlike("[0-9]$"), 3).when(c.rlike(r"\S$"), 1).otherwise(0)
@@ -145,7 +186,8 @@ def _added(texts: DataFrame) -> DataFrame | None:
             threshold = step / 100
         elif above:
             break
-    accepted = model.transform(rows.filter("not settled").withColumn("features", array_to_vector("f"))).filter(chance >= threshold)
+    accepted = model.transform(rows.filter("not settled").withColumn("features", array_to_vector("f"))).filter(chance >= threshold).select(rows.columns)
+    accepted = accepted.unionByName(rows.filter(f"settled and good and rank >= {BASE}"))
     return accepted.groupBy("_key").agg(F.collect_list(F.struct("s", "rank", "e", "kind", F.lit("").alias("match"))).cast(NONE).alias("_more"))
 
 

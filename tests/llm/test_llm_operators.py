@@ -250,6 +250,21 @@ def test_weak_parts_need_their_complement(docs):
     assert clean[8].text == TEXTS[8] and clean[1].text == ""
 
 
+def test_loose_personal_data_is_reported(spark):
+    planted = {
+        0: "telephone", 1: "telephone", 2: "identity", 3: "account", 4: "address", 5: "telephone",
+    }
+    texts = ["please call 555-123-4567 today", "the office (555) 123-4567 opens at nine", "her social security number is 123-45-6789, he said",
+             "pay to GB82 WEST 1234 5698 7654 32 please", "write to jane.doe [at] example [dot] com soon", "she said 415-555-0132 twice", "order 155-123-4567 was sent"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    # Enough settled cases of both classes among the base kinds, and runs of digits that fail their check.
+    rows += [(100 + i, f"mail user{i}@example.org or 4111 1111 1111 11{i:02d} and +1 (234) 555-{1000 + i} for {i * 7919 + 10 ** 9}") for i in range(100)]
+    got = by_id(pii.digest(pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))))
+    for i, kind in planted.items():
+        assert got[i].spans.startswith(f"{kind}:") and "," not in got[i].spans, (i, got[i].spans)
+    assert got[6].spans == ""
+
+
 def test_toxicity_on_held_out_rows(spark, docs, tables, nothing):
     documents, labels = tables["documents"], tables["labels"]
     model = toxicity.fit(documents, labels)
