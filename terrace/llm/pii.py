@@ -2,11 +2,12 @@
 
 Generators with high recall propose overlapping spans: the raw patterns of the base kinds, and looser ones (telephone and
 identity numbers, account numbers, addresses written out). Boosted trees score each candidate by its format and its surroundings.
-They are trained on the candidates that are settled, ``TRAIN`` of them at most; half of
-these calibrate the threshold of the least wanted precision. A checksum or range settles a candidate of a base kind, unless it fails and
+They are trained on settled candidates, about ``TRAIN`` of them at most and as many of each class as there are up to half of that; all
+the other settled ones calibrate the threshold of the least wanted precision for each looser kind. A checksum or range settles a candidate of a base kind, unless it fails and
 overlaps a looser one: it may be that one's digits. Looser candidates are settled by clues: a valid format and words of the kind before it
 count for it, words of other numbers (orders, parts) against it. Base spans stay whatever the trees say; other candidates are added where
-the clues settle them for good or the trees' threshold is reached, and they touch no base span.
+the clues settle them for good or the trees' threshold is reached, and they touch no base span. Where nothing can be learned about a kind, or
+no threshold has the precision, the rule decides: a possible format, or words of the kind, and no words of other numbers.
 
 All is DataFrame functions and Spark's own trees. A text is scanned once; candidates are staged and scored as rows.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import staged, text_of
 from terrace.llm.spans import NONE, listing, none, ordered, spans
 
-#: Documented bounds: candidates to learn from, trees, their depth. Least precision of what is added, and least settled cases of a class.
+#: Documented bounds: candidates to learn from, trees, their depth. Least precision of what is added, and least settled cases of a class in each part.
 TRAIN, TREES, DEPTH, PRECISION, LEAST = 20_000, 6, 3, 0.98, 20
 CONTEXT = 24
 _PART = "[A-Za-z0-9._%+-]"
@@ -99,8 +100,8 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
     The text is left out unless ``redact`` asks for it with each span replaced by its kind in brackets. Null and
     empty texts have no spans. Repeated rows, and equal texts, have equal spans; ids are not used, so they may be
-    null. Input columns named base or spans are replaced. Where too few candidates are settled to learn from, nothing
-    is added to the base spans. An empty table gives an empty one.
+    null. Input columns named base or spans are replaced. Where too few candidates are settled to learn from, the rule of
+    format and context decides. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("base", "spans", text)]
     value = F.col("_text")
@@ -126,6 +127,7 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
         return F.struct(
             x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"),
             (base | (points != 1)).alias("settled"), F.when(base, _valid(x)).otherwise(points > 1).alias("good"),
+            (~base & (clues[0] + clues[1] > 0) & (clues[2] == 0)).alias("rule"),
             F.array(*(c.cast("double") for c in (*_features(value, x), x["rank"], *clues))).alias("f"))
 
     candidates = F.transform(F.concat(settled, free), around)
@@ -134,11 +136,8 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
         *(F.col(f"`{c}`") for c in names), *(["_text"] if redact else []), bare(ordered(F.col("good"))).alias("base"),
         F.when((F.size("raw") > 0) | (F.size("loose") > 0), F.md5("_text")).alias("_key"), candidates.alias("_candidates")))
     added = _added(found.filter("_key is not null").groupBy("_key").agg(F.min("_candidates").alias("_candidates")))
-    if added is None:
-        out = found.withColumn("_more", none())
-    else:
-        out = found.filter("_key is not null").join(added, "_key", "left").withColumn("_more", F.coalesce("_more", none())).unionByName(
-            found.filter("_key is null").withColumn("_more", none()))
+    out = found.filter("_key is not null").join(added, "_key", "left").withColumn("_more", F.coalesce("_more", none())).unionByName(
+        found.filter("_key is null").withColumn("_more", none()))
     out = out.withColumn("spans", ordered(F.col("base"), F.col("_more")))
     from terrace.llm.secret_scan import _redacted
 
@@ -161,34 +160,50 @@ def _features(text: Column, x: Column) -> list[Column]:
     ]
 
 
-def _added(texts: DataFrame) -> DataFrame | None:
-    """Candidates beyond the base kinds that the trees accept, by text; None where nothing could be learned."""
+def _added(texts: DataFrame) -> DataFrame:
+    """Candidates beyond the base kinds that are accepted, by text."""
+    rows = staged(texts.select("_key", F.explode("_candidates").alias("c")).select("_key", "c.*"))
+    sure = rows.filter(f"settled and good and rank >= {BASE}")
+    accepted = sure.unionByName(_judged(rows))
+    return accepted.groupBy("_key").agg(F.collect_list(F.struct("s", "rank", "e", "kind", F.lit("").alias("match"))).cast(NONE).alias("_more"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """The candidates that are not settled but accepted: by the trees or, for kinds without a threshold, by the rule."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = staged(texts.select("_key", F.explode("_candidates").alias("c")).select("_key", "c.*"))
-    train = rows.filter("settled").withColumn("h", F.xxhash64("_key", "s", "kind")).orderBy("h", "_key", "s", "kind").limit(TRAIN).select(
-        "h", F.col("good").cast("double").alias("label"), array_to_vector("f").alias("features"))
-    train = staged(train.select("h", "label", F.col("features")))
-    classes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
-    if min(classes.get(0.0, 0), classes.get(1.0, 0)) < LEAST:
-        return None
-    fitting, held = train.filter("h % 2 = 0"), train.filter("h % 2 <> 0")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(fitting)
+    open_, by_rule = rows.filter("not settled"), F.col("rule")
+    learnable = rows.filter("settled").withColumn("h", F.xxhash64("_key", "s", "kind"))
+    counts = {r.good: r["count"] for r in learnable.groupBy("good").count().collect()}
+    if min(counts.get(False, 0), counts.get(True, 0)) < 2 * LEAST:
+        return open_.filter(by_rule)
+    # Each class fits with half of TRAIN, but with half of its own candidates at most; all others calibrate.
+    share = {c: min(n // 2, TRAIN // 2) / n for c, n in counts.items()}
+    part = F.pmod("h", F.lit(1 << 30)) < F.when(F.col("good"), share[True]).otherwise(share[False]) * (1 << 30)
+    learnable = learnable.select("kind", part.alias("fit"), F.col("good").cast("double").alias("label"), array_to_vector("f").alias("features"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(staged(learnable.filter("fit").select("label", "features")))
     chance = vector_to_array("probability")[1]
-    # The least threshold in steps of a hundredth whose precision on the held half is enough.
-    steps = model.transform(held).select(F.floor(chance * 100).alias("p"), "label").groupBy("p").agg(
-        F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 101 rows
-    threshold = 1.01
-    for step in range(100, -1, -1):
-        above = [r for r in steps if r.p >= step]
-        if above and sum(r.good for r in above) >= PRECISION * sum(r.n for r in above):
-            threshold = step / 100
-        elif above:
-            break
-    accepted = model.transform(rows.filter("not settled").withColumn("features", array_to_vector("f"))).filter(chance >= threshold).select(rows.columns)
-    accepted = accepted.unionByName(rows.filter(f"settled and good and rank >= {BASE}"))
-    return accepted.groupBy("_key").agg(F.collect_list(F.struct("s", "rank", "e", "kind", F.lit("").alias("match"))).cast(NONE).alias("_more"))
+    steps = model.transform(learnable.filter("not fit")).groupBy("kind", F.floor(chance * 100).alias("p")).agg(
+        F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 101 rows a kind
+    limits = {k: _threshold([r for r in steps if r.kind == k]) for k in KINDS[BASE:]}
+    scored = model.transform(open_.withColumn("features", array_to_vector("f")))
+    known = [F.when(F.col("kind") == k, by_rule if t is None else chance >= t) for k, t in limits.items()]
+    return scored.filter(F.coalesce(*known)).select(rows.columns)
+
+
+def _threshold(steps: list) -> float | None:
+    """The least hundredth from which on the precision is enough where both classes weigh the same, so that many good candidates
+    of one table do not excuse bad ones. None where a class has too few cases to know, or no hundredth will do."""
+    good, bad = sum(r.good for r in steps), sum(r.n - r.good for r in steps)
+    if min(good, bad) < LEAST:
+        return None
+    for step in range(101):
+        hit = sum(r.good for r in steps if r.p >= step) / good
+        miss = sum(r.n - r.good for r in steps if r.p >= step) / bad
+        if hit and hit >= PRECISION * (hit + miss):
+            return step / 100
+    return None
 
 
 def digest(found: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -265,6 +265,24 @@ def test_loose_personal_data_is_reported(spark):
     assert got[6].spans == ""
 
 
+def test_loose_personal_data_without_failing_candidates(spark):
+    texts = ["415-555-0132 it is", "please call 555-123-4567 today", "jane at example dot com", "her number is 123-45-6789, he said", "order 415-555-0132 was sent"]
+    wanted = ["telephone", "telephone", "address", "identity", ""]
+    for more in (0, 200):  # nothing fails its check in either table
+        rows = list(enumerate(texts)) + [(100 + i, f"mail user{i}@example.org soon") for i in range(more)]
+        got = by_id(pii.digest(pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))))
+        assert [got[i].spans.split(":")[0] for i in range(len(texts))] == wanted
+
+
+def test_threshold_weighs_classes_equally():
+    from types import SimpleNamespace as Row
+
+    low = [Row(p=10, good=50_000, n=50_100), Row(p=90, good=900_000, n=900_000)]
+    assert pii._threshold(low) == 0.11  # 0.01 % of failing ones are no reason to take them all
+    assert pii._threshold([Row(p=90, good=0, n=50), Row(p=50, good=50, n=50)]) is None
+    assert pii._threshold([Row(p=50, good=50, n=55)]) is None
+
+
 def test_toxicity_on_held_out_rows(spark, docs, tables, nothing):
     documents, labels = tables["documents"], tables["labels"]
     model = toxicity.fit(documents, labels)
