@@ -6,15 +6,17 @@ its own: a group costs less than one sequence over the whole, and groups hold le
 with the input while their size does not.
 
 In a group, best fit decreasing gives the first incumbent. If that is above the lower bound, bins are completed one
-after another around the largest piece left. Fillings come with the fullest first; a filling is left
-out if another one dominates it. The search goes back where the waste so far, and what is left, cannot give fewer
-sequences than the incumbent. It ends at the lower bound or after ``STEPS`` steps, with the best
-packing found: a complete one in any case.
+after another around the largest piece left. Fillings of any number of pieces come with the fullest first; a filling is left
+out if another one dominates it. Those of many pieces are found over distinct lengths and their counts, along the sums that
+bit sets show to be reachable. The search goes back where the waste so far, and what is left, cannot give fewer
+sequences than the incumbent. It ends at the lower bound or after about ``STEPS`` steps, with the best
+packing found: a complete one in any case, but not always the least one. What the two bounds cost is measured in the README.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +177,39 @@ def _fillings(count: list[int], room: int, slack: int, capacity: int, steps: lis
             count[a] += 1
             left &= ~(1 << a)
 
+    lengths = [x for x in range(1, room + 1) if count[x]]
+    reach: list[int] = []  # bit sets: sums of pieces of the shortest 0, 1, 2 ... lengths
+
+    def reachable() -> list[int]:
+        if not reach:
+            steps[0] -= 1 + len(lengths) // 64
+            sums_, mask = 1, (1 << (room + 1)) - 1
+            reach.append(sums_)
+            for x in lengths:
+                left, take = min(count[x], room // x), 1
+                while left > 0:
+                    take = min(take, left)
+                    sums_ |= sums_ << (x * take) & mask
+                    left, take = left - take, take * 2
+                reach.append(sums_)
+        return reach
+
+    def many(total: int, most: int, least: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly ``total`` with at least ``least`` pieces of the ``most`` shortest lengths, the largest pieces first."""
+        if not total:
+            if least <= 0:
+                yield ()
+            return
+        for i in range(min(most, bisect_right(lengths, total)) - 1, -1, -1):
+            if not reach[i + 1] >> total & 1 or steps[0] <= 0:
+                return
+            x = lengths[i]
+            for n in range(min(count[x], total // x), 0, -1):
+                if reach[i] >> (total - n * x) & 1:
+                    steps[0] -= 1
+                    for rest in many(total - n * x, i, least - n):
+                        yield (x,) * n + rest
+
     def dominated(filling: tuple[int, ...], waste: int) -> bool:
         parts = {*filling, *(a + b for i, a in enumerate(filling) for b in filling[i + 1:])}
         low = [1 << x for x in filling]
@@ -191,6 +226,11 @@ def _fillings(count: list[int], room: int, slack: int, capacity: int, steps: lis
             for filling in sums(total, total, depth):
                 if not dominated(filling, room - total):
                     yield filling
+        # Five pieces or more, where so many of the shortest have room.
+        if lengths and 5 * lengths[0] <= total and reachable()[-1] >> total & 1:
+            for filling in many(total, len(lengths), 5):
+                if not dominated(filling, room - total):
+                    yield filling
     if room <= slack or not have:
         yield ()
 

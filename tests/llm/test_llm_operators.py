@@ -127,6 +127,20 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(sizes, 50) <= len(bins) == fewest(sizes, 50)
 
 
+def test_bin_completion_with_many_pieces_a_bin():
+    lengths = [342] * 600 + [341] * 1200
+    bins = packing.fill(lengths, 2048)
+    assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 2048
+    assert len(packing.best_fit(lengths, 2048)) == 320 and len(bins) == 300 == packing.lower_bound(lengths, 2048)
+    rng = np.random.default_rng(11)
+    for _ in range(30):  # bins of seven pieces without waste, shuffled
+        cuts = [np.sort(rng.choice(np.arange(20, 381), 6, replace=False)) for _ in range(12)]
+        lengths = [int(x) for c in cuts for x in np.diff([0, *c, 400]) if x]
+        bins = packing.fill(lengths, 400)
+        assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 400
+        assert packing.lower_bound(lengths, 400) == 12 <= len(bins) <= len(packing.best_fit(lengths, 400))
+
+
 def test_quality_counts_and_verdict(docs, tables, nothing):
     for frame in (docs, tables["documents"]):
         got = by_id(quality_rules.quality(frame))
