@@ -3,8 +3,9 @@
 Base spans are strong by their format. Weaker parts (names of users and clients, endpoints, tokens of mixed characters, private
 key blocks) are common in harmless text. They are reported only when complementary parts co-occur: parts of a document
 are dealt into scopes of ``SCOPE`` characters, interval-joined with the parts of the own and the neighbouring scopes, and
-kept if a part of the role they need begins within ``SCOPE`` characters. A scope holds few parts, so the
-join grows with the number of parts.
+kept if a part of the role they need lies within ``SCOPE`` characters: the gap from the end of the one to the start of the other.
+A part is dealt to all scopes that it covers, and a pair meets in the first that both have. A scope holds few parts, so the
+join grows with the number of parts and their length.
 
 All is DataFrame functions. A text is scanned once; what was found is staged, and linking works on distinct texts.
 """
@@ -27,7 +28,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 IDENTIFIER = r"(?i:\b(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9_.@-]{3,}"
 ENDPOINT = r"(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3)://)[^\x20\x09-\x0D\"'<>]{3,}"
 MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
-PRIVATE = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
+#: Up to the END line, or the BEGIN line alone where there is none.
+PRIVATE = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )?PRIVATE KEY-----)?+"
 #: Kinds in the order of listings: the base ones first. Role of each: identifier, secret or endpoint.
 KINDS = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "endpoint": "endpoint", "mixed": "secret", "private": "secret"}
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -89,10 +91,12 @@ def _linked(texts: DataFrame) -> DataFrame:
         "_key", F.col("p.s").alias("s"), F.col("p.e").alias("e"), F.col("p.kind").alias("kind"), F.col("p.rank").alias("rank"),
         role[F.col("p.kind")].alias("role"))
     scope = lambda c: F.floor(c / SCOPE).cast("int")
-    left = parts.filter(F.col("rank") >= BASE).withColumn(
-        "scope", F.explode(F.array(*(scope(F.col("s")) + k for k in (-1, 0, 1)))))
-    right = parts.select("_key", scope(F.col("s")).alias("scope"), F.col("s").alias("s2"), F.col("role").alias("role2"))
-    near = left.join(right, ["_key", "scope"]).filter((F.col("role") != F.col("role2")) & (F.abs(F.col("s") - F.col("s2")) <= SCOPE))
+    dealt = lambda first, last: F.explode(F.sequence(scope(first), scope(last))).alias("scope")
+    left = parts.filter(F.col("rank") >= BASE).select("*", scope(F.col("s") - SCOPE - 1).alias("low"), dealt(F.col("s") - SCOPE - 1, F.col("e") + SCOPE))
+    right = parts.select("_key", dealt(F.col("s"), F.col("e") - 1), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("role").alias("role2"))
+    near = left.join(right, ["_key", "scope"]).filter(
+        (F.col("role") != F.col("role2")) & (F.col("s2") - F.col("e") <= SCOPE) & (F.col("s") - F.col("e2") <= SCOPE)
+        & (F.col("scope") == F.greatest(F.col("low"), scope(F.col("s2")))))
     has = lambda r: F.max((F.col("role2") == r).cast("int"))
     judged = near.groupBy("_key", "s", "e", "kind", "rank", "role").agg(
         has("secret").alias("secret"), has("identifier").alias("identifier"), has("endpoint").alias("endpoint"))
