@@ -25,16 +25,24 @@ from terrace.llm.common import text_of
 #: Reference pages by host; a constant is one that all of them share. Hosts with at least a 4096th of all pages are split.
 REFERENCES, PARTS = 3, 4096
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noscript template xmp svg math object".split())
+RAW = frozenset("script style title textarea iframe noscript xmp".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("nav header footer aside form button select dialog menu head fieldset option label".split()) | RAW
+SKIPPED = frozenset("nav header footer aside form button select dialog menu head fieldset option label svg template annotation annotation-xml".split()) | RAW
+#: Never skipped by a role: what holds the whole page or its article.
+WHOLE = frozenset(("html", "body", "main", "article"))
+#: Whole names of roles, with a word of place before them or of make after them.
 _ROLE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert|advertisement|sponsored|sponsor|banner|promo|"
-    r"cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|discussion|replies|share|social|related|pagination|contentinfo|complementary)(?:$|[\s_-])")
+    r"(?i)(?:(?:site|main|page|global|top|bottom|left|right|primary|secondary|social)[_-])?"
+    r"(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|sidebar|ads?|advert|advertisement|sponsored|cookies?|consent|popup|modal|newsletter|"
+    r"comments?|share|sharing|pagination|contentinfo|complementary|(?:site|page|global|top)[_-]header|related[_-](?:posts|articles|links|stories))"
+    r"(?:[_-](?:notice|banner|consent|bar|box|block|wrapper|container|area|list|links|buttons?|menu|widget|section|form|slot|unit|left|right|top|bottom|[0-9]+))*")
+#: Values of the attribute role alone.
+_ARIA = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAMED = re.compile(r"(?i)(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: Elements whose start ends an open one of the same group.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -56,6 +64,16 @@ class Node:
         return " ".join("".join(x if isinstance(x, str) else " " for x in self.parts).split())
 
 
+def foreign(stack: list[tuple[str, Node]]) -> int:
+    """The place of the innermost open foreign element, 0 for none; HTML inside one is none of it."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i][0] in FOREIGN:
+            return i
+        if stack[i][0] in BLOCKS or stack[i][0] == "foreignobject":
+            return 0
+    return 0
+
+
 def parse(page: str) -> Node:
     """A tree of block elements; unclosed and stray tags are put right as browsers roughly do."""
     root = Node("#root")
@@ -80,14 +98,20 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 stack[-1][1].parts.append(Node("p"))
             continue
+        if m.group(0).endswith("/>") and (tag in FOREIGN or foreign(stack)):
+            continue  # closed by itself
         if tag in RAW:
             end = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>]|\Z)").search(page, at)
-            at = end.start() if end else len(page)
+            if end or tag in ("script", "style"):
+                at = end.start() if end else len(page)
             continue
         if tag in VOID:
             stack[-1][1].parts.append(Node(tag) if tag == "hr" else " ")
             continue
         if tag in BLOCKS:
+            # A block ends foreign elements that were left open.
+            if inside := foreign(stack):
+                del stack[inside:]
             ends = _ENDS.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
                 open_ = stack[i][0]
@@ -96,10 +120,13 @@ def parse(page: str) -> Node:
                     break
                 if open_ in BLOCKS and open_ not in ends:
                     break
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m.group(3))) if m.group(3) else ""
-        skipped = tag in SKIPPED or bool(named and _ROLE.search(named))
+        values = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(m.group(3))] if m.group(3) else []
+        named = " ".join(v for _, v in values)
+        role = tag not in WHOLE and any(
+            _ROLE.fullmatch(x) or k == "role" and x.lower() in _ARIA for k, v in values for x in v.split())
+        skipped = role or tag in SKIPPED
         if tag == "header" and any(t in ("article", "main") for t, _ in stack):
-            skipped = bool(named and _ROLE.search(named.replace("header", "")))
+            skipped = role
         if tag in BLOCKS or skipped:
             node = Node(tag, f"{tag} {named}", skipped)
             stack[-1][1].parts.append(node)
@@ -108,11 +135,35 @@ def parse(page: str) -> Node:
             stack.append((tag, stack[-1][1]))  # inline: its text belongs to the block around it
 
 
+def _depth_free(step: Iterator):
+    """The result of a recursion that yields its calls, on a stack of its own."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: size of the largest order-keeping match of two trees with equal roots, and its pairs."""
+    size, tree = _depth_free(_align(a, b))
+    pairs, open_ = [], [tree]
+    while open_:
+        pair, below = open_.pop()
+        pairs.append(pair)
+        open_ += below
+    return size, pairs
+
+
+def _align(a: Node, b: Node) -> Iterator:
+    """Returns the size and the pair (a, b) with the matches below it."""
     left, right = a.blocks(), b.blocks()
     if not left or not right:
-        return 1, [(a, b)]
+        return 1, ((a, b), [])
     cell = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     found: dict[tuple[int, int], tuple[int, list]] = {}
     for i, x in enumerate(left):
@@ -121,22 +172,22 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             best = max(row[j], above[j + 1])
             if x.label == y.label:
                 simple = not x.parts or not y.parts or all(isinstance(p, str) for p in x.parts) or all(isinstance(p, str) for p in y.parts)
-                got = (1, None) if simple else align(x, y)
+                got = (1, None) if simple else (yield _align(x, y))
                 found[i, j] = got
                 best = max(best, above[j] + got[0])
             row[j + 1] = best
-    pairs = [(a, b)]
+    below: list[tuple] = []
     i, j = len(left), len(right)
     while i and j:
         got = found.get((i - 1, j - 1))
         if got and cell[i][j] == cell[i - 1][j - 1] + got[0]:
-            pairs += got[1] or [(left[i - 1], right[j - 1])]
+            below.append(got[1] or ((left[i - 1], right[j - 1]), []))
             i, j = i - 1, j - 1
         elif cell[i][j] == cell[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + cell[-1][-1], pairs
+    return 1 + cell[-1][-1], ((a, b), below)
 
 
 def _articles(root: Node) -> list[Node]:
@@ -153,23 +204,27 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-def _texts(node: Node, out: list[tuple[Node, str]]) -> None:
+def _texts(top: Node, out: list[tuple[Node, str]]) -> None:
     """Blocks of text below a node, in page order, without skipped elements."""
-    if node.skipped:
+    if top.skipped:
         return
-    open_: list[str] = []
-    cells = node.tag == "tr"
-    for part in [*node.parts, None]:
-        if isinstance(part, str):
-            open_.append(part)
-        elif cells and part is not None and not part.skipped and not part.blocks():
-            open_ += [" ", *part.parts, " "]
-        else:
-            if text := " ".join("".join(open_).split()):
-                out.append((node, text))
-            open_ = []
-            if part is not None:
-                _texts(part, out)
+    stack: list[tuple[Node, Iterator, list[str]]] = [(top, iter([*top.parts, None]), [])]
+    while stack:
+        node, parts, open_ = stack[-1]
+        for part in parts:
+            if isinstance(part, str):
+                open_.append(part)
+            elif node.tag == "tr" and part is not None and not part.skipped and not part.blocks():
+                open_ += [" ", *part.parts, " "]
+            else:
+                if text := " ".join("".join(open_).split()):
+                    out.append((node, text))
+                open_.clear()
+                if part is None:
+                    stack.pop()
+                elif not part.skipped:
+                    stack.append((part, iter([*part.parts, None]), []))
+                    break
 
 
 def main_text(page: str, references: list[tuple[str, Node]]) -> str:

@@ -332,6 +332,20 @@ def test_labels_of_the_held_out_fold_are_not_learned(tables):
     assert toxicity.fit(documents, labels) == toxicity.fit(documents, turned)
 
 
+def test_extraction_keeps_whole_articles():
+    read = lambda page: html_extract.main_text(page, [])
+    for page in ('<body class="no-sidebar"><p>kept</p></body>', '<body class="sidebar"><p>kept</p></body>', '<main class="has-sidebar"><p>kept</p></main>',
+                 '<article class="post comments-open"><p>kept</p></article>', '<div class="article-header"><h1>kept</h1></div>', '<section class="share-price">kept</section>',
+                 '<svg viewBox="0 0 1 1"/><p>kept</p>', '<math/><p>kept</p>', '<object data=x><p>kept</p>', '<svg><path d="M0"/><title>t</title></svg><p>kept</p>',
+                 '<svg><g><text>no</text><p>kept</p>', '<p>kept</p><template><p>no</p></template>', '<div><noscript>no</noscript>kept</div>',
+                 '<div class="sidebar">no</div><div class="main-menu">no</div><div role=search>no</div><div id=cookie-notice>no</div><p>kept</p>'):
+        assert read(page) == "kept", page
+    assert read("<p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p>") == "so a=b holds"
+    deep = [html_extract.parse("<div>" * 5000 + f"kept {i}") for i in range(2)]
+    size, pairs = html_extract.align(*deep)
+    assert size == len(pairs) == 5001 and read("<div>" * 5000 + "kept") == "kept"
+
+
 def test_extraction(spark, tables, nothing):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='cookie-notice'>c</div><article><h1>Head &amp; more</h1>" \
            "<p>One <b>two</b>\n three<br>four<p>five<aside>x</aside><div id=comments>bad</div><form>f</form></article><footer>z</footer></body></html>"
