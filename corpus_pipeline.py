@@ -25,14 +25,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, by shingles of five words. Of rows that share an id one stays, too."""
+    """Keep one row of each group of near copies, by shingles of five words. Rows count by themselves, whatever their ids."""
     reachable(spark)
-    judged = staged(minhash_dedup.near_duplicates(docs).select("doc_id", "kept"))
-    dropped = judged.filter("not kept").select("doc_id").distinct()
-    repeated = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
-    left = docs.join(dropped, "doc_id", "left_anti")
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # The key is staged with the rows, so that both uses agree on it.
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    kept = staged(minhash_dedup.near_duplicates(rows, doc_id="_row").filter("kept").select("_row", (F.col("n_shingles") > 0).alias("_judged")))
+    left = rows.join(kept, "_row")
+    # Texts without shingles are linked with nothing; of such rows only repeated ones go.
+    return left.filter("_judged").select(*docs.columns).unionByName(left.filter("not _judged").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

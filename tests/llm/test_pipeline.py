@@ -20,3 +20,13 @@ def test_stages_take_effect(spark):
     assert not any(re.search("AKIA[A-Z0-9]{16}|[0-9a-f]{24}", t) for t in texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(0)), (1, text(1)), (2, text(0) + " more"), (None, text(2)), (None, text(2)), (None, text(3)), (3, text(4)), (3, text(4)), (4, ""), (4, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    starts = sorted(r.text.split(" ")[0] for r in left)
+    assert starts == ["", "", "w0x0", "w1x0", "w2x0", "w3x0", "w4x0"]
+    assert (1, text(1)) in [tuple(r) for r in left] and sorted(r.doc_id for r in left if not r.text) == [4, 5]
