@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import (
-    bpe_tree, embedding_dedup, html_extract, minhash_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity,
+    bpe_tree, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity,
 )
 from terrace.llm.common import reachable
 
@@ -58,9 +58,14 @@ def op10_bpe_roundtrip(spark, sf):
     return bpe_tree.encode_decode(_read(spark, sf, "documents"))
 
 
+def op11_exact_dedup(spark, sf):
+    return exact_dedup.exact_duplicates(_read(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_quality_rules, op3_embedding_dedup, op4_html_extraction, op5_minhash_dedup, op6_secret_scan,
     op7_best_fit_packing, op8_toxicity, op9_pii, op10_bpe_roundtrip,
+    op11_exact_dedup,
 )}
 
 ORACLE = {
@@ -102,4 +107,8 @@ ORACLE = {
         ), found AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
         SELECT s.doc_id, len(s.shingles) AS n_shingles, coalesce(f.root, s.doc_id) AS component_id, s.doc_id = coalesce(f.root, s.doc_id) AS kept
         FROM s LEFT JOIN sets t ON list_sort(s.shingles) = t.shingles LEFT JOIN found f ON t.doc_id = f.a""",
+    "op11_exact_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+            doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
 }
