@@ -118,8 +118,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     if changed is not None:
         fresh = changed.select("row", *(F.col(k).alias(f"new_{k}") for k in _KEY[1:]))
         maybe = maybe.join(fresh, "row", "left").select("row", "_id", "text_sha256", "n_bytes", *(F.coalesce(f"new_{k}", k).alias(k) for k in _KEY[1:]))
-    groups = maybe.groupBy(*_KEY).agg(F.max(F.struct("_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    # A key with a large part of all rows is split by adaptive execution: the other side has one small row for each key.
+    # Written, so that the join below has shuffles of its own: adaptive execution then splits a key with a large part of all rows.
+    groups = staged(maybe.groupBy(*_KEY).agg(F.max(F.struct("_id", "row")).alias("keep"), F.count("*").alias("group_size")))
     member = maybe.join(groups, list(_KEY)).select("_id", F.col("keep._id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"),
                                                    "text_sha256", "n_bytes", "f0", "f1")
     single = rows.filter("chunk is null").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
