@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import (
     bpe_tree, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity,
+    whitening,
 )
 from terrace.llm.common import reachable
 
@@ -62,10 +63,14 @@ def op11_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(_read(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_embedding_whitening(spark, sf):
+    return whitening.whiten(_read(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_quality_rules, op3_embedding_dedup, op4_html_extraction, op5_minhash_dedup, op6_secret_scan,
     op7_best_fit_packing, op8_toxicity, op9_pii, op10_bpe_roundtrip,
-    op11_exact_dedup,
+    op11_exact_dedup, op12_embedding_whitening,
 )}
 
 ORACLE = {
