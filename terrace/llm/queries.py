@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import (
-    bpe_tree, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity,
+    bpe_tree, collocations, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity,
     whitening,
 )
 from terrace.llm.common import reachable
@@ -67,10 +67,14 @@ def op12_embedding_whitening(spark, sf):
     return whitening.whiten(_read(spark, sf, "embeddings"))
 
 
+def op13_phrase_collocations(spark, sf):
+    return collocations.collocations(_read(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_quality_rules, op3_embedding_dedup, op4_html_extraction, op5_minhash_dedup, op6_secret_scan,
     op7_best_fit_packing, op8_toxicity, op9_pii, op10_bpe_roundtrip,
-    op11_exact_dedup, op12_embedding_whitening,
+    op11_exact_dedup, op12_embedding_whitening, op13_phrase_collocations,
 )}
 
 ORACLE = {
@@ -116,4 +120,29 @@ ORACLE = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
             doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op13_phrase_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        found AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+        ), f AS (SELECT lang, k, phrase, count(*) AS c FROM found GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        cuts AS (
+            SELECT lang, k, phrase, c AS a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head,
+                array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS tail
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND c >= 10)
+        ), cut_scores AS (
+            SELECT c.*, x.c AS l, y.c AS r, CAST((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c) AS BIGINT) AS score
+            FROM cuts c JOIN f x ON c.lang = x.lang AND c.head = x.phrase AND x.k = c.cut JOIN f y ON c.lang = y.lang AND c.tail = y.phrase AND y.k = c.k - c.cut
+        ), scored AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        covered AS (
+            SELECT s.lang, s.phrase FROM scored s JOIN scored t ON s.lang = t.lang AND s.k = 2 AND t.k = 3 AND 100 * t.a >= 50 * s.a
+                AND s.phrase IN (array_to_string(string_split(t.phrase, ' ')[1:2], ' '), array_to_string(string_split(t.phrase, ' ')[2:3], ' '))
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored ANTI JOIN covered USING (lang, phrase)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
