@@ -9,8 +9,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits for each hash, and the bound on all bits as a power of two (16 MB).
-EACH, MOST = 16, 27
+#: Bits for each hash, and the bound on all bits as a power of two (64 MB).
+EACH, MOST = 16, 29
 
 
 class Bitmap:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from terrace.llm.bitmap import Bitmap
 from terrace.llm.common import staged, text_of
 
-SHARDS, SUPPORT, MOST_WORDS, INSIDE, TOP = 4, 10, 3, 50, 2000
+SHARDS, SUPPORT, MOST_WORDS, INSIDE, TOP = 2, 10, 3, 50, 2000
 #: Words of a block, bytes of a text read at once, bytes of text that one range of a shard stands for.
 BLOCK, SLICE, RANGE = 1 << 20, 1 << 21, 1 << 22
 #: A byte that no UTF-8 text holds marks the ends of pieces.
@@ -157,9 +158,10 @@ def counted(texts: DataFrame, most_words: int = MOST_WORDS, support: int = SUPPO
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most_words, BLOCK):
             numbers, fresh, _ = block.closed()
-            langs = np.array([lang for lang, _ in block.words], object)
-            own, totals = np.unique(langs[numbers[fresh & (numbers > 0)]].astype(str), return_counts=True)
-            yield _phrases(own.tolist(), 0, [""] * len(own), totals)
+            langs, words_ = (pa.array(x, pa.string()) for x in ([lang for lang, _ in block.words], [word.decode() for _, word in block.words]))
+            n = np.bincount(numbers[fresh & (numbers > 0)], minlength=len(block.words))
+            totals = pa.table({"lang": langs, "n": pa.array(n, pa.int64())}).slice(1).group_by("lang").aggregate([("n", "sum")])
+            yield _phrases(totals["lang"].combine_chunks(), 0, pa.array([""] * len(totals)), totals["n_sum"].combine_chunks())
             for words, hashes, places in phrase_hashes(block, most_words):
                 places = places[candidates.holds(hashes)]
                 # Pairs of a number for the words so far and the next word's number: exact, whatever the number of words.
@@ -167,16 +169,15 @@ def counted(texts: DataFrame, most_words: int = MOST_WORDS, support: int = SUPPO
                 for k in range(1, words):
                     key = np.unique(key, return_inverse=True)[1] << 32 | numbers[places + k]
                 _, at, n = np.unique(key, return_index=True, return_counts=True)
-                found = [[block.words[i] for i in numbers[p:p + words]] for p in places[at].tolist()]
-                yield _phrases([x[0][0] for x in found], words, [b" ".join(w for _, w in x).decode() for x in found], n)
+                own = [pa.array(numbers[places[at] + k]) for k in range(words)]
+                yield _phrases(langs.take(own[0]), words, pc.binary_join_element_wise(*(words_.take(x) for x in own), " "), pa.array(n, pa.int64()))
 
     return (texts.select("text", "lang", F.lit(0).alias("shard")).mapInArrow(count, "lang string, words int, phrase string, n long")
             .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("words") == 0) | (F.col("n") >= support)))
 
 
-def _phrases(langs: list, words: int, phrases: list, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array([words] * len(langs), pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())],
-                           names=["lang", "words", "phrase", "n"])
+def _phrases(langs: pa.Array, words: int, phrases: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([langs, pa.array(np.full(len(n), words, np.int32)), phrases, n], names=["lang", "words", "phrase", "n"])
 
 
 def locally_frequent(texts: DataFrame, most_words: int = MOST_WORDS, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
