@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +34,46 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders written since the innermost ``freeing`` began.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that later jobs start from there."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the folders staged inside when their work is done, but for those that frames handed to the given function read.
+
+    The latter belong to the next outer context, if there is one. Frames that are still to be computed from other folders don't outlive this.
+    """
+    own, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.update(path for path in own if any(path.split("/")[-1] in f for f in files))
+        return df
+
+    token = _OWN.set(own)
+    try:
+        yield keep
+    finally:
+        _OWN.reset(token)
+        if (outer := _OWN.get()) is not None:
+            outer.extend(kept)
+        for path in own:
+            if path not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(df: DataFrame, column: str) -> Column:
     """The text column as a string, null read as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
