@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.llm import minhash_dedup, packing, quality_rules, secret_scan, toxicity
-from terrace.llm.common import reachable, staged
+from terrace.llm.bitmap import Bitmap
+from terrace.llm.common import freeing, reachable, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +31,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near copies, by shingles of five words. Rows count by themselves, whatever their ids."""
+    """Keep one row of each group of near copies, by shingles of five words: the one with the least id. Different texts under
+    one id, or under none, are different rows; repeated rows are copies, also where their texts have no words.
+    """
     reachable(spark)
-    # The key is staged with the rows, so that both uses agree on it.
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = staged(minhash_dedup.near_duplicates(rows, doc_id="_row").filter("kept").select("_row", (F.col("n_shingles") > 0).alias("_judged")))
-    left = rows.join(kept, "_row")
-    # Texts without shingles are linked with nothing; of such rows only repeated ones go.
-    return left.filter("_judged").select(*docs.columns).unionByName(left.filter("not _judged").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2")).alias("key"),
+        F.col("text").alias("text"))
+    with freeing(spark) as keep:
+        judged = minhash_dedup.near_duplicates(keyed, doc_id="key").groupBy("key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("copies"))
+        marked = keep(staged(judged.filter("not kept or copies > 1")))
+    return _without(keyed, marked, Bitmap.of(marked.select("key.h")))
+
+
+def _without(keyed: DataFrame, marked: DataFrame, seen: Bitmap) -> DataFrame:
+    """Rows without those whose key is marked as not kept, and one of each marked as repeated. Rows outside of the bitmap are not shuffled."""
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("maybe", pa.array(seen.holds(batch.column(2).to_numpy().view(np.uint64))))
+
+    rows = keyed.select("row", "key", F.col("key.h").alias("h"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())])
+    flags = rows.mapInArrow(flagged, schema)
+    rest = flags.filter("maybe").join(marked, "key", "left").filter("coalesce(kept, true)")
+    kept = rest.filter("coalesce(copies, 1) = 1").unionByName(rest.filter("copies > 1").dropDuplicates(["key"])).select("row.*")
+    return flags.filter("not maybe").select("row.*").unionAll(kept)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
+    """Apply the stages to ``documents``; each result is written as Parquet and read again, and what led to it is freed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+    with freeing(spark) as last:
+        for _, stage in STAGES[:-1]:
+            with freeing(spark) as keep:
+                docs = keep(staged(stage(spark, docs, sf_dir)))
+        last(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
