@@ -78,12 +78,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``doc_id``, n_shingles, component_id and kept for each row of ``docs``.
 
     Texts are linked if 100 * shared >= ``similar`` * all of their distinct shingles of ``words`` words. Null and
-    empty texts are linked with nothing and kept. Repeated rows are equal texts and have equal results. Rows
-    without an id take part under no name: component_id is null unless they equal or resemble rows with one, and
-    they are kept only in the former case. Other columns are left out; an empty table gives an empty one.
+    empty texts are linked with nothing and kept. Repeated rows are equal texts and have equal results; unlike texts under one id
+    are compared each by itself. Rows without an id take part under no name: their component_id is that of the rows they are connected
+    with, or null where none of these has an id; in the latter case they count as kept. Other columns are left out; an empty table gives an empty one.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(docs[doc_id].alias("_id"), text_of(docs, text).alias("_text"))
+    # A hash of the text beside the id tells rows of one id, or of none, apart when texts are fetched again.
+    texts = docs.select(docs[doc_id].alias("_id"), text_of(docs, text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +96,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 minima.append(_minima(own))
             keys = _half_keys(np.array(minima, np.uint64).reshape(len(sizes), _HASHES))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), 2 * SIDE).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), lists],
-                                  names=["_id", "n", "set_id", "keys"])
-
-    signed = staged(texts.mapInArrow(sign, f"_id {id_type}, n long, set_id binary, keys array<bigint>"))
-    classes = staged(signed.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("_id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys")))
-    component = _components(texts, classes, words, similar, id_type)
-    named = classes.select("set_id", "node").join(component, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), lists],
+                                  names=["_id", "_hash", "n", "set_id", "keys"])
+
+    signed = staged(texts.mapInArrow(sign, f"_id {id_type}, _hash long, n long, set_id binary, keys array<bigint>"))
+    # Classes have numbers of their own; ids name them in the end. The least id stands for a class, a missing one only where there is no other.
+    one = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")).alias("one")
+    classes = staged(signed.filter("set_id is not null").groupBy("set_id").agg(one, F.max("n").alias("n"), F.first("keys").alias("keys")).select(
+        F.monotonically_increasing_id().alias("node"), "set_id", F.col("one._id").alias("name"), F.col("one._hash").alias("hash"), "n", "keys"))
+    component = _components(texts, classes, words, similar)
+    labelled = classes.select("set_id", "node", "name").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = staged(labelled.groupBy("component").agg(F.min("name").alias("component_id")))
+    named = labelled.join(names, "component").select("set_id", "component_id")
     bare = signed.select("_id", "n", "set_id")
     out = bare.filter("set_id is not null").join(named, "set_id").select("_id", "n", "component_id").unionAll(
         bare.filter("set_id is null").select("_id", "n", F.col("_id").alias("component_id")))
@@ -110,9 +115,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                       F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int, id_type: str) -> DataFrame:
+def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int) -> DataFrame:
     """Components of classes, from confirmed links: enough of them to connect what is connected."""
-    halves = classes.filter("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
+    halves = classes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     first = F.col("at") < SIDE
     # At most SIDE half-keys on either side.
@@ -124,8 +129,8 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int,
     buckets = tables.join(crowded, "table_key")
     weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     buckets = staged(buckets.drop("size").join(weights, "node"))
-    wanted = buckets.select("node").distinct().join(classes.select("node", "set_id"), "node")
-    sets = staged(_sets(texts, wanted, words, id_type))
+    wanted = buckets.select("node").distinct().join(classes.select("node", "set_id", "name", "hash"), "node")
+    sets = staged(_sets(texts, wanted, words))
     close = (100 * F.least("n", "n2") >= similar * F.greatest("n", "n2"))
     links = tested = component = None
     for turn in range(LEADER_ROUNDS + 1):
@@ -179,7 +184,7 @@ def _linkable(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
                   .filter(100 * F.col("usable") >= similar * size).select("node", "c", "usable", "parts"))
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, words: int, id_type: str) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The full sets of some classes, taken from the documents anew."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +200,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int, id_type: str) -> Data
                 yield pa.record_batch([pa.array(nodes, part.schema.field(0).type), pa.array(found, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
                                       names=["node", "members", "parts"])
 
-    needed = texts.join(wanted.withColumnRenamed("node", "_id"), "_id").select("_id", "_text", "set_id")
-    return needed.mapInArrow(collect, f"node {id_type}, members array<bigint>, parts array<int>").dropDuplicates(["node"])
+    needed = texts.join(wanted, (F.col("_hash") == F.col("hash")) & F.col("_id").eqNullSafe(F.col("name"))).select("node", "_text", "set_id")
+    return needed.mapInArrow(collect, "node long, members array<bigint>, parts array<int>").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:

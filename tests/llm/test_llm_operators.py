@@ -365,3 +365,10 @@ def test_extraction(spark, tables, nothing):
         body = re.sub(r"<[^>]*$", "", marked.group(1)) if marked else ""
         blocks = (" ".join(entities.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", body))
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_near_duplicates_without_or_under_one_id(spark):
+    text = lambda k, more="": " ".join(f"w{k}x{i}" for i in range(60)) + more
+    rows = [(1, text(0)), (None, text(0, " more")), (None, text(1)), (None, text(1, " more")), (5, text(2)), (5, text(3)), (7, text(3, " a")), (8, text(3, " b")), (9, None)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)], key=str)
