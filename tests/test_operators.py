@@ -1,4 +1,5 @@
 import json
+import math
 from datetime import datetime
 
 import pytest
@@ -229,9 +230,40 @@ def test_latest_search_page(spark):
 # --- analytics ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 100, 10])
-def test_exact_quantiles_against_sorting(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(Q, "SKETCH_ACCURACY", accuracy)  # wider brackets hold more values
+def test_quantiles_order_all_doubles(spark):
+    values = [float("-inf"), -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, float("inf")]
+    rows = [(v,) for v in [values[7], -0.0, *values[:4], *values[5:7], *values[8:]]] + [(None,), (float("nan"),)]
+    got = Q.exact_quantiles(spark.createDataFrame(rows, "v double"), {"v": F.col("v")}, [i / 9 for i in range(10)])["v"]
+    assert (got.count, got.values) == (10, values)
+
+
+def test_quantiles_descend_into_full_bins(spark):
+    # Over 65536 rows share the leading 16, 32 and 48 bits.
+    df = spark.range(0, 300_000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 1 + F.pmod(F.hash("id"), F.lit(5000)) * F.lit(2.0**-52))
+        .otherwise(1 + F.col("id") * F.lit(2.0**-44)).alias("v"))
+    data = sorted(r.v for r in df.collect())
+    probs = [0.0, 1 / 3, 0.4, 0.6, 0.9, 1.0]
+    got = Q.exact_quantiles(df, {"v": F.col("v"), "minus": -F.col("v")}, probs)
+    for p, value, mirrored in zip(probs, got["v"].values, got["minus"].values, strict=True):
+        at = (len(data) - 1) * p
+        low, high = data[math.floor(at)], data[math.ceil(at)]
+        assert value == low + (high - low) * (at - math.floor(at))
+        at = (len(data) - 1) * (1 - p)
+        assert -mirrored == pytest.approx(data[round(at)], rel=1e-9)
+    plan = spark.range(10).select(F.col("id").cast("double").alias("v"))
+    assert Q.exact_quantiles(plan, {"a": F.lit(None), "b": F.col("v")}, [0.5])["a"] == Q.Quantiles(0, [None])
+
+
+def test_two_hundred_quantiles_at_once(spark):
+    df = spark.range(0, 50_000, 1, 4)
+    names = {f"v{i}": (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1_000_003)) / 7) for i in range(50)}
+    got = Q.exact_quantiles(df, names, [0.1, 0.25, 0.5, 0.75])
+    for n in ("v0", "v49"):
+        assert got[n].values == pytest.approx(df.select(F.percentile(names[n], F.array(*map(F.lit, [0.1, 0.25, 0.5, 0.75])))).first()[0], rel=1e-12)
+
+
+def test_exact_quantiles_against_sorting(spark):
     # A third of all rows hold one value.
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.pmod(F.hash("id"), F.lit(100000)) / 7).alias("v"))
@@ -246,8 +278,7 @@ def test_exact_quantiles_against_sorting(spark, monkeypatch, accuracy):
     assert (empty.count, empty.values) == (0, [None])
 
 
-def test_many_quantiles_beside_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 50)
+def test_many_quantiles_beside_a_hot_value(spark):
     df = spark.range(4000).select(F.when(F.col("id") < 990, -1.0 - F.col("id")).when(F.col("id") < 2500, 0.0).otherwise(F.col("id") / 3).alias("v"))
     data = sorted(r.v for r in df.collect())
     names = [f"v{i}" for i in range(10)]
