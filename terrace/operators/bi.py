@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace import constants as K
+from terrace.functions.guard import check_query
 from terrace.functions.names import col, column_role, dtype_of, is_text, option
 from terrace.operators.transform import tie_break
 
@@ -255,9 +256,14 @@ def is_select_only(sql: str) -> bool:
 
 
 def query(spark: SparkSession, sql: str, limit: int = K.SQL_ROW_LIMIT, **tables) -> DataFrame:
-    """Run a SELECT over the given frames; other statements are refused, results are limited."""
+    """Run a SELECT over the given frames; other statements, tables and functions are refused, results are limited.
+
+    The frames are named inside the query alone, so views of the session stay as they are.
+    """
     if not is_select_only(sql):
         raise ValueError("only SELECT statements are allowed")
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(sql.strip().removesuffix(";")).limit(limit)
+    text = check_query(spark, sql.strip().removesuffix(";"), tables)
+    # Names of the frames go to the parts before the query; its own braces are none of them.
+    parts = ", ".join(f"`{name}` AS (SELECT * FROM {{t{i}}})" for i, name in enumerate(tables))
+    text = (f"WITH {parts} " if parts else "") + text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(text, **{f"t{i}": frame for i, frame in enumerate(tables.values())}).limit(limit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace import constants as K
+from terrace.functions.guard import Refused, check_expression
 from terrace.functions.names import as_list, col, option
 from terrace.functions.text import to_sql_expression
 
@@ -39,14 +40,19 @@ def assignments(value, separator: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, found, v in lines if found and k.strip() and v.strip()}
 
 
+def user_expression(spark: SparkSession, text: str) -> Column:
+    """A user's expression, refused where it does more than compute on the row."""
+    return F.expr(check_expression(spark, to_sql_expression(text)))
+
+
 def transform(df: DataFrame, config: dict) -> DataFrame:
     """Calculated columns, casts, renames and drops. A column that cannot be made is left out."""
     spark = df.sparkSession
     for name, text in assignments(config.get("calculatedColumns"), "=").items():
         try:
             with lenient(spark):
-                df = df.withColumn(name, F.expr(to_sql_expression(text)))
-        except PySparkException as error:
+                df = df.withColumn(name, user_expression(spark, text))
+        except (PySparkException, Refused) as error:
             log.warning("calculated column %s left out: %s", name, error)
     casts = {n: t for n, t in (config.get("cast") or {}).items() if n in df.columns}
     if casts:
@@ -79,8 +85,8 @@ def filter_rows(df: DataFrame, config: dict) -> DataFrame:
         return df.limit(int(limit.group(1)))
     try:
         with lenient(df.sparkSession):
-            return df.filter(F.expr(to_sql_expression(condition)))
-    except PySparkException as error:
+            return df.filter(user_expression(df.sparkSession, condition))
+    except (PySparkException, Refused) as error:
         log.warning("condition %r ignored: %s", condition, error)
         return df
 
@@ -100,7 +106,7 @@ def categorize(df: DataFrame, config: dict) -> DataFrame:
     with lenient(df.sparkSession):
         if textual:
             tests = [
-                (label, F.expr(to_sql_expression(test)))
+                (label, user_expression(df.sparkSession, test))
                 for label, test in assignments(buckets, ":").items()
             ]
         else:
