@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,9 +105,18 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         texts = spark.read.text(path)
     else:
         texts = spark.read.text(path, wholetext=True)
-    texts = texts.select(F.trim("value").alias("value")).filter("value != ''")
-    one = F.from_json("value", "map<string,string>")
-    many = F.from_json("value", "array<map<string,string>>")
+    texts = texts.select(F.btrim("value", F.lit(" \t\n\r\ufeff")).alias("value")).filter("value != ''")
+    # Read as the first of two members of an object, the text's length being the other: anything behind the array or object breaks that.
+    size = F.char_length("value")
+    whole = F.concat(F.lit('{"records":'), "value", F.lit(',"size":'), size.cast("string"), F.lit("}"))
+
+    two = F.json_object_keys(whole) == F.array(F.lit("records"), F.lit("size"))
+
+    def read(kind: str) -> Column:
+        parsed = F.from_json(whole, f"records {kind}, size int")
+        return F.when(two & (parsed["size"] == size), parsed["records"])
+
+    one, many = read("map<string,string>"), read("array<map<string,string>>")
     found = F.when(F.col("value").startswith("["), many).otherwise(
         F.when(one.isNotNull(), F.array(one)))
     broken = F.raise_error(F.concat(F.lit("malformed JSON: "), F.substring("value", 1, 80)))

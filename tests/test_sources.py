@@ -253,3 +253,21 @@ def test_display_numbers_keeps_text(spark):
 
     rows = display_numbers(spark.createDataFrame([("abc",), ("1.23456789",)], "v string"), ["v"]).collect()
     assert [tuple(r) for r in rows] == [("abc", None), ("1.23456789", 1.234568)]
+
+
+@pytest.mark.parametrize("text", [
+    '[{"a":1},{"a":2}] trailing [{"a":3}]', '[{"a":1}] [{"a":2}]', '{"a":1} {"a":2}', '{"a":1}}', '[{"a":1}]]', '[{"a":1}]} more', '{"a":1}, "b":2', '[{"a":1}],"size":10}', "[1, 2",
+])
+def test_text_behind_the_records_is_an_error(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_records(spark, str(tmp_path)).collect()
+
+
+def test_whole_records_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text(' \n[{"a":1,"size":"x"}, {"records":{"b":[1,{"c":null}]}, "a":"}]"}] \n')
+    (tmp_path / "b.json").write_text('{"a":"é中"}\n')
+    rows = {tuple(r) for r in read_records(spark, str(tmp_path)).select("a", "size", "records").collect()}
+    assert rows == {("1", "x", None), ("}]", None, '{"b":[1,{"c":null}]}'), ("é中", None, None)}
+    (tmp_path / "b.json").write_text("[]")
+    assert read_records(spark, str(tmp_path)).count() == 2
