@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,20 +95,45 @@ def most_frequent(df: DataFrame, name: str) -> DataFrame:
 def correlations(df: DataFrame) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows that have both.
 
-    Pairs are rows, not columns of one very wide aggregate; each task keeps one state per pair.
+    Null for fewer than two such rows; NaN where a column does not vary over them or holds an infinity. Each task
+    adds up the products of all pairs at once, as matrices of its columns and of what is present in
+    them; one row for each pair and task is shuffled.
     """
     names = number_columns(df)
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-        for i, j in combinations(range(len(names)), 2)
-    ]
-    if not pairs:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "column string, column2 string, r double")
-    cells = F.array(*[as_number(df, n).cast("double") for n in names])
+    cells = df.select(*[as_number(df, n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    ends = cells.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in cells.columns for f in (F.min, F.max, F.avg)]).first()
+    # Sums around a value amid the column's keep their digits; a constant column becomes exactly zero.
+    shifts = []
+    for c in cells.columns:
+        low, high, mean = (ends[f"{f}_{c}"] for f in ("min", "max", "avg"))
+        middle = low if low == high else mean
+        shifts.append(middle if middle is not None and math.isfinite(middle) else 0.0)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = len(shifts)
+        total = np.zeros((7, count, count))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shifts
+            there, infinite = ~np.isnan(x), np.isinf(x)
+            x = np.where(there & ~infinite, x, 0.0)
+            m, wild = there.astype(float), infinite.astype(float)
+            square = x * x
+            # Rows with both; sums and squares of the first over rows of the second, and the other way round; products; infinities.
+            total += [m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x, wild.T @ m + m.T @ wild]
+        i, j = np.triu_indices(count, 1)
+        yield pa.record_batch([pa.array(k.astype(np.int32)) for k in (i, j)] + [pa.array(t[i, j]) for t in total], names=["i", "j", *sums])
+
+    sums = ("n", "x", "y", "xx", "yy", "xy", "wild")
+    paired = cells.mapInArrow(products, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    whole = paired.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    spread = [F.col("n") * F.col(s + s) - F.col(s) * F.col(s) for s in ("x", "y")]
+    steady = [v <= F.lit(1e-13) * F.col("n") * F.col(s + s) for v, s in zip(spread, ("x", "y"))]
+    r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.sqrt(spread[0]) * F.sqrt(spread[1]))
     label = F.array(*[F.lit(n) for n in names])
-    paired = df.select(cells.alias("v"), F.explode(F.array(*pairs)).alias("p")).select(
-        "p.i", "p.j", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y")
-    )
-    return paired.groupBy("i", "j").agg(F.corr("x", "y").alias("r")).select(
-        label[F.col("i")].alias("column"), label[F.col("j")].alias("column2"), "r"
+    return whole.select(
+        label[F.col("i")].alias("column"), label[F.col("j")].alias("column2"),
+        F.when(F.col("n") < 2, F.lit(None)).when((F.col("wild") > 0) | steady[0] | steady[1], F.lit(float("nan")))
+        .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
     )

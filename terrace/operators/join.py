@@ -48,15 +48,14 @@ def join(df: DataFrame, other: DataFrame, config: dict) -> DataFrame:
         return rows.select(*out)
 
     matches = _match(keys)
-    if how != "outer":
-        rows = left.join(right, matches, how)
-        return shaped(rows, _RIGHT if how == "right" else _LEFT)
-    # A full join cannot be split when one key is very frequent, so it is put together from a left
-    # join and the unmatched rows of the other side, which both can.
+    if how in ("left", "inner"):
+        return shaped(left.join(right, matches, how), _LEFT)
+    # A right or full join cannot be split at a key that is very frequent on the left. So they are put together from an inner
+    # or left join and the unmatched rows of the other side, which adaptive execution can all split.
     seen = left.select(*[col(_LEFT + k) for k in keys]).distinct()
     unmatched = right.join(seen, matches, "left_anti")
-    both = shaped(left.join(right, matches, "left"), _LEFT)
-    return both.union(shaped(unmatched, _RIGHT))
+    found = left.join(right, matches, "inner" if how == "right" else "left")
+    return shaped(found, _RIGHT if how == "right" else _LEFT).union(shaped(unmatched, _RIGHT))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import statistics
 from datetime import datetime
 
 import pytest
@@ -13,7 +15,7 @@ from terrace.operators.anomaly import detect_anomalies
 from terrace.operators.classify import classify
 from terrace.operators.clean import clean, fill_nulls, infer_types
 from terrace.operators.forecast import fit_trend, forecast
-from terrace.operators.insight import insights, narratives
+from terrace.operators.insight import correlations, insights, narratives
 from terrace.operators.join import join, latest_per_key, upsert_rows
 from terrace.operators.quality import quality
 from terrace.operators.transform import categorize, filter_rows, page, search_rows, sort_rows, transform
@@ -200,6 +202,33 @@ def test_joins(spark):
         join(a, b, {"type": "cross"})
 
 
+@pytest.mark.parametrize("how", ["right", "full"])
+def test_a_frequent_key_is_split_in_joins(spark, how):
+    a = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").cast("string").alias("v"))
+    b = spark.range(0, 3000, 1, 2).select((F.col("id") - 10).alias("k"), F.col("id").alias("w"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = join(a, b, {"joinType": how, "joinKey": "k"})
+        got = rows(out)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    left = {}
+    for k, v in rows(a):
+        left.setdefault(k, []).append(v)
+    right = dict(rows(b))
+    want = [(k, v, w) for k, w in right.items() for v in left.get(k, [None])]
+    want += [(k, v, None) for k, vs in left.items() if k not in right for v in vs] if how == "full" else []
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "skew=true" in plan and "RightOuter" not in plan and "FullOuter" not in plan
+
+
 def test_upsert_rows(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, v string, old int")
     b = spark.createDataFrame([(2, None, "x"), (3, "c", "y")], "K int, v string, new string")
@@ -423,3 +452,35 @@ def test_quarantine_sample(spark):
     row = quarantine_record(rejected, 60, "why", F.lit(datetime(2024, 1, 1))).first()
     sample = json.loads(row.failed_data)
     assert row.reason == "why (60 rows)" and len(sample) == 50 and sample[0].keys() == {"id", "v"}
+
+
+def test_correlations_over_present_pairs(spark):
+    draw = random.Random(8)
+    data = []
+    for i in range(500):
+        a, b = draw.gauss(1e6, 3), draw.random()
+        cells = [a, 2 * a + draw.gauss(0, 1), b, -b, 5.0, 0.1, float("inf") if i == 9 else b, None, float(i) if i < 1 else None]
+        data.append(tuple(None if draw.random() < 0.1 and k not in (4, 8) else v for k, v in enumerate(cells)))
+    names = [f"x{k}" for k in range(9)]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r[0], r[1]): r[2] for r in correlations(df).collect()}
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        i, j = names.index(a), names.index(b)
+        both = [(row[i], row[j]) for row in data if row[i] is not None and row[j] is not None]
+        if len(both) < 2:
+            assert r is None
+        elif any(math.isinf(v) for pair in both for v in pair) or len({x for x, _ in both}) == 1 or len({y for _, y in both}) == 1:
+            assert math.isnan(r)
+        else:
+            assert r == pytest.approx(statistics.correlation(*map(list, zip(*both))), abs=1e-9)
+    assert "Generate" not in correlations(df)._jdf.queryExecution().executedPlan().toString()
+    assert correlations(df.select("x0")).collect() == [] and correlations(df.limit(0)).collect() == []
+
+
+def test_correlations_of_a_hundred_columns(spark):
+    df = spark.range(0, 2000, 1, 4).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) + F.col("id") * (i % 2)).cast("double").alias(f"c{i}") for i in range(100)])
+    got = {(r[0], r[1]): r[2] for r in correlations(df).collect()}
+    assert len(got) == 4950
+    for a, b in (("c0", "c1"), ("c1", "c99"), ("c50", "c98")):
+        assert got[a, b] == pytest.approx(df.select(F.corr(a, b)).first()[0], abs=1e-10)
