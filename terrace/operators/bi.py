@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace import constants as K
 from terrace.functions.guard import check_query
-from terrace.functions.names import col, column_role, dtype_of, is_text, option
+from terrace.functions.names import col, column_role, dtype_of, is_number, is_text, option
 from terrace.operators.transform import tie_break
 
 CARD_AGGREGATES = ("SUM", "AVG", "COUNT", "MIN", "MAX")
@@ -56,15 +56,20 @@ def apply_filters(df: DataFrame, filters: list[dict] | None) -> DataFrame:
     return df
 
 
-def _widget_filter(df: DataFrame, cfg: dict) -> DataFrame:
+def _widget_condition(df: DataFrame, cfg: dict) -> Column | None:
     """``filterField = filterValue``; a value that looks like a number is compared as one."""
     name, value = cfg.get("filterField"), cfg.get("filterValue")
     if not name or value in (None, ""):
-        return df
+        return None
     numeric = re.fullmatch(r"-?\d+(\.\d+)?", str(value)) and not is_text(dtype_of(df, name))
     if numeric:
-        return df.filter(col(name) == F.lit(float(value) if "." in str(value) else int(value)))
-    return df.filter(col(name) == _value(df, name, value))
+        return col(name) == F.lit(float(value) if "." in str(value) else int(value))
+    return col(name) == _value(df, name, value)
+
+
+def _widget_filter(df: DataFrame, cfg: dict) -> DataFrame:
+    condition = _widget_condition(df, cfg)
+    return df if condition is None else df.filter(condition)
 
 
 # --- widgets -----------------------------------------------------------------------------------
@@ -129,6 +134,65 @@ def widget(df: DataFrame, cfg: dict) -> DataFrame:
     return table(df, bool(cfg.get("shared")))
 
 
+def board(df: DataFrame, widgets: dict[str, dict]) -> DataFrame:
+    """``(card, label, value)`` of all KPI and chart widgets, by title, from one aggregate over one scan.
+
+    Filters become conditions inside the aggregates; the labels of charts are grouping sets, KPIs the empty one. A
+    KPI has one row, with a null label, also where no row meets its filter; a chart has the rows that ``chart`` gives, unordered. Labels
+    are text, values doubles, so a widget whose value is neither a number nor a count is refused.
+    """
+    labels = list(dict.fromkeys(c["xField"] for c in widgets.values() if _is_chart(c)))
+    inputs, measures, cards = [], [], []
+    for k, (title, cfg) in enumerate(widgets.items()):
+        charted = _is_chart(cfg)
+        if not charted and str(cfg.get("type", "KPI")).upper() != "KPI":
+            raise ValueError(f"{title} is neither a KPI nor a chart")
+        function = _card_function(option(cfg, "aggregation", default="COUNT" if charted else "SUM"), strict=True)
+        name = option(cfg, "yField", default=cfg["xField"]) if charted else option(cfg, "kpiField", "xField", "field")
+        whole = function == "COUNT" and (charted or name in (None, "*", "COUNT(*)"))
+        if not whole and function != "COUNT" and not is_number(dtype_of(df, name)):
+            raise ValueError(f"{title} has no number as its value")
+        condition = _widget_condition(df, cfg)
+        met = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+        inputs += [F.when(met, F.lit(1) if whole else col(name)).alias(f"v{k}"), met.alias(f"met{k}")]
+        measures += [_aggregate(function, f"v{k}").cast("double").alias(f"m{k}"), F.count_if(F.col(f"met{k}")).alias(f"n{k}")]
+        cards.append((title, labels.index(cfg["xField"]) if charted else None))
+    keys = [f"l{i}" for i in range(len(labels))]
+    base = df.select(*[col(n).cast("string").alias(k) for n, k in zip(labels, keys)], *inputs)
+    # One row that meets nothing keeps the empty grouping set alive.
+    nothing = df.sparkSession.range(1).select(*[
+        F.lit(False if f.name.startswith("met") else None).cast(f.dataType).alias(f.name) for f in base.schema])
+    base = base.unionAll(nothing)
+    every = (1 << len(keys)) - 1
+    if keys:
+        grouped = base.groupingSets([[]] + [[F.col(k)] for k in keys], *keys).agg(F.grouping_id().alias("g"), *measures)
+    else:
+        grouped = base.agg(F.lit(0).cast("long").alias("g"), *measures)
+    rows = []
+    for k, (title, at) in enumerate(cards):
+        own = every if at is None else every & ~(1 << len(keys) - 1 - at)
+        shown = (F.col("g") == own) & (F.lit(True) if at is None else F.col(f"n{k}") > 0)
+        label = F.lit(None).cast("string") if at is None else F.col(keys[at])
+        rows.append(F.when(shown, F.struct(F.lit(title).alias("card"), label.alias("label"), F.col(f"m{k}").alias("value"))))
+    return grouped.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+
+
+def _is_chart(cfg: dict) -> bool:
+    return str(cfg.get("type", "")).upper() in ("PIE", "BAR", "LINE", "AREA")
+
+
+def table_counts(df: DataFrame) -> DataFrame:
+    """``(column, place, rows, columns, nulls)`` for each column, from one aggregate."""
+    names = df.columns
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(col(n)).alias(f"c{i}") for i, n in enumerate(names)])
+    cells = [
+        F.struct(F.lit(n).alias("column"), F.lit(i + 1).cast("long").alias("place"), F.col("rows"),
+                 F.lit(len(names)).cast("long").alias("columns"), (F.col("rows") - F.col(f"c{i}")).alias("nulls"))
+        for i, n in enumerate(names)
+    ]
+    return row.select(F.inline(F.array(*cells)))
+
+
 def distinct_values(df: DataFrame, name: str, limit: int = K.DISTINCT_VALUES) -> DataFrame:
     return (
         df.select(col(name).alias("value"))

@@ -454,6 +454,36 @@ def test_quarantine_sample(spark):
     assert row.reason == "why (60 rows)" and len(sample) == 50 and sample[0].keys() == {"id", "v"}
 
 
+def test_board_equals_its_widgets_in_one_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    widgets = {
+        "sum": {"kpiField": "o_totalprice"}, "none": {"kpiField": "o_totalprice", "filterField": "o_custkey", "filterValue": "-5"},
+        "count none": {"aggregation": "COUNT", "filterField": "o_custkey", "filterValue": "-5"},
+        "bars": {"type": "BAR", "xField": "o_orderpriority"}, "status": {"type": "BAR", "xField": "o_orderstatus", "yField": "o_totalprice", "aggregation": "AVG"},
+        "few": {"type": "PIE", "xField": "o_orderpriority", "filterField": "o_orderstatus", "filterValue": "F"},
+    }
+    out = bi.board(df, widgets)
+    want = []
+    for title, cfg in widgets.items():
+        for r in bi.widget(df, {"type": "KPI", **cfg}).collect():
+            want.append((title, r[0] if len(r) > 1 else None, None if r[-1] is None else pytest.approx(float(r[-1]), rel=1e-12)))
+    got = sorted(rows(out), key=str)
+    assert len(got) == len(want) and all(any(g[:2] == w[:2] and g[2] == w[2] for w in want) for g in got)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted(rows(bi.board(df.limit(0), widgets)), key=str) == [("count none", None, 0.0), ("none", None, None), ("sum", None, None)]
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "l string, v int")
+    assert set(rows(bi.board(nulls, {"c": {"type": "PIE", "xField": "l", "yField": "v", "aggregation": "SUM"}}))) == {("c", None, 3.0), ("c", "a", 3.0)}
+    for wrong in ({"type": "TABLE"}, {"kpiField": "l", "aggregation": "MAX"}):
+        with pytest.raises(ValueError):
+            bi.board(nulls, {"w": wrong})
+
+
+def test_table_counts(spark):
+    df = spark.createDataFrame([(None, 1), ("", None), ("a", None)], "rows string, nulls int")
+    assert rows(bi.table_counts(df)) == [("rows", 1, 3, 2, 1), ("nulls", 2, 3, 2, 2)]
+    assert rows(bi.table_counts(df.limit(0))) == [("rows", 1, 0, 2, 0), ("nulls", 2, 0, 2, 0)]
+
+
 def test_correlations_over_present_pairs(spark):
     draw = random.Random(8)
     data = []

@@ -183,6 +183,12 @@ AGGREGATES |= {
         select count(*) as rows, cast(8 as bigint) as columns,
           count(*) - count(priority) as null_priority, count(*) - count(status) as null_status
         from {_DIRTY} d""",
+    "table_counts_all": f"""
+        with c as (select count(*) as rows, count(*) - count(priority) as p, count(*) - count(status) as s from {_DIRTY} d)
+        select name as "column", place, rows, cast(8 as bigint) as columns,
+          case name when 'priority' then p when 'status' then s when 'saldo' then rows else 0 end as nulls
+        from c, (values ('o_orderkey', 1), ('amount', 2), ('debit_idr', 3), ('tx_date', 4), ('priority', 5), ('status', 6),
+          ('o_custkey', 7), ('saldo', 8)) v(name, place)""",
 }
 
 # The dirty orders have eight columns: key, amount, debit, date, priority, status, customer, saldo.
@@ -196,6 +202,16 @@ DASHBOARDS = {
         union all select 'filtered', round(max(o_totalprice), 2) from orders where o_orderstatus = 'F'
         union all select 'numeric_filter', count(o_orderkey) from orders where o_custkey = 370
         union all select 'unknown', round(sum(o_totalprice), 2) from orders""",
+    "board_one_scan": """
+        select 'total' as card, null as label, round(sum(o_totalprice), 2) as value from orders
+        union all select 'average', null, round(avg(o_totalprice), 2) from orders where o_orderstatus = 'F'
+        union all select 'orders', null, count(*) from orders
+        union all select 'one customer', null, count(o_orderkey) from orders where o_custkey = 370
+        union all select 'nobody', null, sum(o_totalprice) from orders where o_custkey = -1
+        union all select 'by priority', o_orderpriority, count(*) from orders group by 2
+        union all select 'by status', o_orderstatus, round(sum(o_totalprice), 2) from orders group by 2
+        union all select 'urgent by day', cast(o_orderdate as varchar), round(max(o_totalprice), 2) from orders
+            where o_orderpriority = '1-URGENT' group by 2""",
     "chart_bar": """
         select o_orderpriority as name, count(*) as value from orders group by 1 order by 2 desc, 1""",
     "chart_pie": """

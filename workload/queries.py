@@ -462,6 +462,26 @@ def kpi_cards(spark, sf):
     )
 
 
+def board_one_scan(spark, sf):
+    """KPIs and charts with and without filters from one aggregate."""
+    out = bi.board(_table(spark, sf, "orders"), {
+        "total": {"kpiField": "o_totalprice"},
+        "average": {"kpiField": "o_totalprice", "aggregation": "AVG", "filterField": "o_orderstatus", "filterValue": "F"},
+        "orders": {"aggregation": "COUNT"},
+        "one customer": {"kpiField": "o_orderkey", "aggregation": "COUNT", "filterField": "o_custkey", "filterValue": "370"},
+        "nobody": {"kpiField": "o_totalprice", "filterField": "o_custkey", "filterValue": "-1"},
+        "by priority": {"type": "BAR", "xField": "o_orderpriority"},
+        "by status": {"type": "PIE", "xField": "o_orderstatus", "yField": "o_totalprice", "aggregation": "SUM"},
+        "urgent by day": {"type": "LINE", "xField": "o_orderdate", "yField": "o_totalprice", "aggregation": "MAX",
+                          "filterField": "o_orderpriority", "filterValue": "1-URGENT"},
+    })
+    return out.withColumn("value", F.round("value", 2))
+
+
+def table_counts_all(spark, sf):
+    return bi.table_counts(_dirty_orders(spark, sf))
+
+
 def chart_bar(spark, sf):
     return bi.widget(_table(spark, sf, "orders"), {"type": "BAR", "xField": "o_orderpriority"})
 
@@ -913,7 +933,7 @@ QUERIES = {
         categorize_conditions, calc_filter, cast_columns, filters_all_ops, filters_combined,
         table_search_page, sort_rows_nulls_last, topn_customers, union_missing_columns,
         join_composite, pivot_status_priority, pivot_fixed_columns, agg_null_semantics, agg_global,
-        table_counts, kpi_cards, chart_bar, chart_pie, chart_line, distinct_values, table_widget,
+        table_counts, table_counts_all, kpi_cards, board_one_scan, chart_bar, chart_pie, chart_line, distinct_values, table_widget,
         auto_dashboard, auto_report, report_detail, read_only_sql, display_numbers, quality_score,
         quality_score_dirty, insight_facts, insight_outliers, correlation_pairs,
         most_frequent_value, anomaly_zscore, anomaly_forest, forecast_linear, forecast_tied_dates,
