@@ -14,6 +14,8 @@ from terrace.session import cut_lineage, spread
 
 TREES = 100
 TREE_ROWS = 256
+#: Rows let through for each one that a tree takes, on average.
+DRAWN = 4
 
 
 def detect_anomalies(df: DataFrame, config: dict) -> DataFrame:
@@ -88,18 +90,17 @@ def _by_forest(df: DataFrame, filled: dict[str, Column], seed: int) -> DataFrame
 
 
 def _grow(features: DataFrame, total: int, seed: int) -> list[dict]:
-    """Sample rows for each tree and grow the trees on the executors."""
-    wanted = TREES * TREE_ROWS
-    sample = features
-    if total > 2 * wanted:
-        sample = features.sample(fraction=1.3 * wanted / total, seed=seed)
-    copies = max(1, min(TREES, -(-wanted * 13 // (10 * max(total, 1)))))
-    first = F.floor(F.rand(seed) * TREES)
-    trees = F.transform(
-        F.sequence(F.lit(0), F.lit(copies - 1)),
-        lambda i: F.pmod(first + i * 37, F.lit(TREES)).cast("int"),
-    )
-    drawn = sample.select(F.explode(trees).alias("tree"), *features.columns)
+    """Grow each tree on the executors from the rows with the least hashes for that tree.
+
+    Every row has a place in [0, 1) for each tree. The cut lets through some ``DRAWN`` times the rows that a tree needs, so that no group
+    grows with the table; the tree takes the least of those. A table with fewer rows than that is let through whole.
+    """
+    cut = min(1.0, DRAWN * TREE_ROWS / max(total, 1))
+    every = F.sequence(F.lit(0), F.lit(TREES - 1))
+    place = lambda t: F.shiftrightunsigned(F.xxhash64(F.col("__draw"), t), 11) / F.lit(2.0**53)
+    places = F.transform(every, lambda t: F.struct(t.alias("tree"), place(t).alias("place")))
+    drawn = features.withColumn("__draw", F.rand(seed)).select(
+        F.inline(F.filter(places, lambda p: p["place"] < cut)), *features.columns)
     names = features.columns
     rows_per_tree = TREE_ROWS
 
@@ -109,9 +110,7 @@ def _grow(features: DataFrame, total: int, seed: int) -> list[dict]:
         import numpy as np
 
         rng = np.random.default_rng(seed + int(key[0]))
-        data = rows[names].to_numpy(dtype=float)
-        if len(data) > rows_per_tree:
-            data = data[rng.choice(len(data), rows_per_tree, replace=False)]
+        data = rows.nsmallest(rows_per_tree, "place")[names].to_numpy(dtype=float)
         depth = math.ceil(math.log2(max(len(data), 2)))
         nodes = {k: [] for k in ("feature", "cut", "left", "right", "size", "depth")}
 

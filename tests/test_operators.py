@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace import constants as K
-from terrace.operators import bi, governance
+from terrace.operators import anomaly, bi, governance
 from terrace.operators import quantiles as Q
 from terrace.operators.aggregate import aggregate, parse_aggregations, pivot
 from terrace.operators.anomaly import detect_anomalies
@@ -363,6 +363,16 @@ def test_forest_share_and_planted_outliers(spark):
     assert ends[0] == 0.0 and ends[1] == pytest.approx(1.0, abs=1e-3)
 
 
+def test_every_tree_of_a_forest_has_its_share_of_rows(spark):
+    for total, least in ((50, 50), (1000, 256), (30_000, 256)):
+        features = spark.range(0, total, 1, 3).select((F.col("id") * 1.0).alias("f0"))
+        forest = anomaly._grow(features, total, 7)
+        assert [t["tree"] for t in forest] == list(range(anomaly.TREES))
+        assert {t["size"][0] for t in forest} == {least}
+        # Trees are drawn apart from one another.
+        assert total <= 256 or len({t["cut"][0] for t in forest}) == anomaly.TREES
+
+
 def test_forecast(spark):
     days = [(datetime(2024, 1, d), 10.0 + 2 * d) for d in range(1, 11)]
     df = spark.createDataFrame(days, "day timestamp_ntz, sales double")
@@ -469,7 +479,7 @@ def test_board_equals_its_widgets_in_one_scan(spark):
             want.append((title, r[0] if len(r) > 1 else None, None if r[-1] is None else pytest.approx(float(r[-1]), rel=1e-12)))
     got = sorted(rows(out), key=str)
     assert len(got) == len(want) and all(any(g[:2] == w[:2] and g[2] == w[2] for w in want) for g in got)
-    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert bi.board(df, widgets)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     assert sorted(rows(bi.board(df.limit(0), widgets)), key=str) == [("count none", None, 0.0), ("none", None, None), ("sum", None, None)]
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "l string, v int")
     assert set(rows(bi.board(nulls, {"c": {"type": "PIE", "xField": "l", "yField": "v", "aggregation": "SUM"}}))) == {("c", None, 3.0), ("c", "a", 3.0)}
