@@ -12,6 +12,9 @@ from terrace.functions.names import col
 from terrace.operators.bi import widget
 
 
+_SPACE_KEPT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int | None = K.EXPORT_ROWS) -> None:
     """A table as CSV or TSV with every field quoted and missing values empty, or as JSON.
 
@@ -24,6 +27,7 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int | None =
         return
     if fmt not in ("csv", "tsv"):
         raise ValueError(f"unknown export format {fmt!r}")
+    # White space in cells is part of them; Spark's writer would trim it.
     texts = rows.select(*[
         F.coalesce(col(n).cast("string"), F.lit("")).alias(n) for n in rows.columns
     ])
@@ -33,6 +37,7 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int | None =
         .option("quoteAll", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .options(**_SPACE_KEPT)
         .option("sep", "\t" if fmt == "tsv" else ",")
         .csv(path)
     )
@@ -57,6 +62,6 @@ def export_dashboard(tables: dict[str, DataFrame], widgets: list[dict], path: st
         rows = widget(df, cfg) if is_kpi else df.limit(K.SHARED_TABLE_ROWS)
         title = re.sub(r"\W+", "_", str(cfg.get("title", "widget"))).strip("_").lower()
         folder = f"{path.rstrip('/')}/{number:02d}_{title}"
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').options(**_SPACE_KEPT).csv(folder)
         written.append(folder)
     return written

@@ -129,6 +129,13 @@ SHAPING = {
           lower(p_type), p_size, p_retailprice) like '%bolt%'
         order by p_retailprice desc, p_partkey limit 20 offset 20""",
     "sort_rows_nulls_last": f"select o_orderkey, status, o_custkey from {_DIRTY} d",
+    "sort_first_rows": f"""
+        select * from (select o_orderkey, status, o_custkey, 'down' as direction from {_DIRTY} d
+            order by status desc nulls last, o_custkey desc, o_orderkey desc limit 500)
+        union all select * from (select o_orderkey, status, o_custkey, 'up' as direction from {_DIRTY} d
+            order by status nulls last, o_custkey, o_orderkey limit 500)""",
+    "export_csv_back": f"select o_orderkey, coalesce(priority, '') as priority, coalesce(status, '') as status from {_DIRTY} d",
+    "archive_back": f"select o_orderkey, status from {_DIRTY} d",
     "topn_customers": """
         select o_custkey, round(sum(o_totalprice), 2) as total, count(*) as orders
         from orders group by 1 order by sum(o_totalprice) desc limit 10""",

@@ -29,6 +29,7 @@ from terrace.plans.flow import apply_steps, quarantine_table, run
 from terrace.plans.templates import template
 from terrace.session import scratch_folder
 from terrace.sources import lake as lakes
+from terrace.sources.export import archive, export_table
 from terrace.sources.files import read_csv, read_records
 
 AS_OF = datetime(2024, 1, 1)
@@ -318,6 +319,34 @@ def sort_rows_nulls_last(spark, sf):
     return filter_rows(ordered, {"condition": "o_orderkey >= 0"})
 
 
+def sort_first_rows(spark, sf):
+    """The first rows of both directions: an order that is not kept gives other rows."""
+    dirty = _dirty_orders(spark, sf).select("o_orderkey", "status", "o_custkey")
+    first = [
+        filter_rows(sort_rows(dirty, {"by": ["status", "o_custkey", "o_orderkey"], "ascending": ups}), {"condition": "LIMIT 500"})
+        .withColumn("direction", F.lit(name))
+        for name, ups in (("down", [False, False, False]), ("up", [True, True, True]))
+    ]
+    return first[0].unionByName(first[1])
+
+
+def export_csv_back(spark, sf):
+    """A whole table exported as quoted CSV and read again."""
+    path = _scratch(spark)
+    dirty = _dirty_orders(spark, sf).select("o_orderkey", "priority", "status")
+    export_table(dirty, path, "csv", limit=None)
+    back = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return back.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.coalesce("priority", F.lit("")).alias("priority"),
+                       F.coalesce("status", F.lit("")).alias("status"))
+
+
+def archive_back(spark, sf):
+    """A table archived as Parquet and read again."""
+    path = _scratch(spark)
+    archive(_dirty_orders(spark, sf).select("o_orderkey", "status"), path)
+    return spark.read.parquet(path)
+
+
 def topn_customers(spark, sf):
     steps = [
         {"type": "AGGREGATE", "order": 1, "config": {
@@ -931,7 +960,7 @@ QUERIES = {
         fill_nulls_template, harden_types, validate_flag, validate_drop, validate_rejects,
         validate_compare, validate_unique, outlier_iqr, outlier_zscore, categorize_tiers,
         categorize_conditions, calc_filter, cast_columns, filters_all_ops, filters_combined,
-        table_search_page, sort_rows_nulls_last, topn_customers, union_missing_columns,
+        table_search_page, sort_rows_nulls_last, sort_first_rows, export_csv_back, archive_back, topn_customers, union_missing_columns,
         join_composite, pivot_status_priority, pivot_fixed_columns, agg_null_semantics, agg_global,
         table_counts, table_counts_all, kpi_cards, board_one_scan, chart_bar, chart_pie, chart_line, distinct_values, table_widget,
         auto_dashboard, auto_report, report_detail, read_only_sql, display_numbers, quality_score,
