@@ -79,6 +79,12 @@ def text_of(df: DataFrame, column: str) -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def other_columns(df: DataFrame, *left_out: str) -> tuple[list[Column], list[Column]]:
+    """The columns of a frame but some, under names that no operator uses, and how to get them back under their own."""
+    names = [c for c in df.columns if c.lower() not in {x.lower() for x in left_out}]
+    return ([F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], [F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between word spaces, A-Z lower-cased, as UTF-8."""
     return (text or "").encode().translate(LOWER).split()

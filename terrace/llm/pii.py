@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import staged, text_of
-from terrace.llm.spans import NONE, listing, none, ordered, spans
+from terrace.functions.text import let
+from terrace.llm.common import other_columns, staged, text_of
+from terrace.llm.spans import NONE, apart, blocks, cut, listing, none, ordered, redacted, spans, without_text
 
 #: Documented bounds: candidates to learn from, trees, their depth. Least precision of what is added, and least settled cases of a class in each part.
 TRAIN, TREES, DEPTH, PRECISION, LEAST = 20_000, 6, 3, 0.98, 20
@@ -55,10 +56,13 @@ def _digits(x: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    size = F.char_length(digits)
-    digit = lambda i: F.substring(digits, size - i, F.lit(1)).cast("int")  # noqa: E731  from the right, 0 first
-    add = lambda acc, i: acc + F.when(i % 2 == 0, digit(i)).when(digit(i) > 4, 2 * digit(i) - 9).otherwise(2 * digit(i))
-    return F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), add) % 10 == 0
+    def check(text: Column) -> Column:
+        size = F.char_length(text)
+        digit = lambda i: F.substring(text, size - i, F.lit(1)).cast("int")  # noqa: E731  from the right, 0 first
+        add = lambda acc, i: acc + F.when(i % 2 == 0, digit(i)).when(digit(i) > 4, 2 * digit(i) - 9).otherwise(2 * digit(i))
+        return F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), add) % 10 == 0
+
+    return let(digits, check)
 
 
 def _valid(x: Column) -> Column:
@@ -79,13 +83,13 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
 
 
-def _before(text: Column, x: Column) -> Column:
-    return F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+def _before(pieces: Column, x: Column) -> Column:
+    return cut(pieces, F.greatest(x["s"] - CONTEXT, F.lit(0)), x["s"])
 
 
-def _clues(text: Column, x: Column) -> tuple[Column, Column, Column]:
+def _clues(pieces: Column, x: Column) -> tuple[Column, Column, Column]:
     """Of a loose candidate: format (0 wrong, 1 possible, 2 unmistakable), words of its kind before it, words of other numbers."""
-    match, kind, before = x["match"], x["kind"], _before(text, x)
+    match, kind, before = x["match"], x["kind"], _before(pieces, x)
     shape = (
         F.when(kind == "telephone", F.when(match.rlike(r"^\([2-9][0-9]{2}\)"), 2).when(match.rlike("^[2-9][0-9]{2}[^0-9)]"), 1).otherwise(0))
         .when(kind == "identity", F.when(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), 2).otherwise(0))
@@ -100,13 +104,14 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
     The text is left out unless ``redact`` asks for it with each span replaced by its kind in brackets. Null and
     empty texts have no spans. Repeated rows, and equal texts, have equal spans; ids are not used, so they may be
-    null. Input columns named base or spans are replaced. Where too few candidates are settled to learn from, the rule of
+    null. Input columns named base or spans are replaced, others may have any name. Where too few candidates are settled to learn from, the rule of
     format and context decides. An empty table gives an empty one.
     """
-    names = [c for c in docs.columns if c not in ("base", "spans", text)]
+    kept, back = other_columns(docs, "base", "spans", text)
+    own = [f"in_{i}" for i in range(len(kept))]
     value = F.col("_text")
     digit = value.rlike("[0-9]")
-    raw = docs.select(*(docs[c] for c in names), text_of(docs, text).alias("_text")).select("*", F.concat(
+    raw = docs.select(*kept, text_of(docs, text).alias("_text")).select("*", F.concat(
         spans(value, EMAIL, "email", 0, F.contains(value, F.lit("@"))),
         spans(value, IP, "ip", 1, value.rlike(r"[0-9]\.[0-9]")),
         spans(value, CARD, "card", 2, value.rlike(r"(?:[0-9][\x20-]?){2}")),
@@ -117,40 +122,37 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
         spans(value, ADDRESS, "address", 7, value.rlike(r"(?i)[\[(\x20]at[\])\x20]") & value.rlike(ADDRESS))).alias("loose"))
     judged = raw.select("*", F.filter("raw", _valid).alias("good"))
     # Short runs of digits that no check settles are no candidates, nor are failing runs that may be part of a loose one; all others are.
-    settled = F.filter("raw", lambda x: _valid(x) | (
-        ((x["kind"] != "card") | (F.char_length(_digits(x["match"])) >= 9)) & ~F.exists("loose", lambda g: (g["s"] < x["e"]) & (x["s"] < g["e"]))))
-    free = F.filter("loose", lambda x: ~F.exists("good", lambda g: (g["s"] < x["e"]) & (x["s"] < g["e"])))
+    failing = F.filter("raw", lambda x: ~_valid(x) & ((x["kind"] != "card") | (F.char_length(_digits(x["match"])) >= 9)))
+    settled, free = F.concat("good", apart(failing, F.col("loose"))), apart(F.col("loose"), F.col("good"))
 
-    def around(x: Column) -> Column:
-        clues = _clues(value, x)
+    def around(pieces: Column, x: Column) -> Column:
+        clues = _clues(pieces, x)
         points, base = clues[0] + clues[1] - clues[2], x["rank"] < BASE
         return F.struct(
             x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"),
             (base | (points != 1)).alias("settled"), F.when(base, _valid(x)).otherwise(points > 1).alias("good"),
             (~base & (clues[0] + clues[1] > 0) & (clues[2] == 0)).alias("rule"),
-            F.array(*(c.cast("double") for c in (*_features(value, x), x["rank"], *clues))).alias("f"))
+            F.array(*(c.cast("double") for c in (*_features(pieces, x), x["rank"], *clues))).alias("f"))
 
-    candidates = F.transform(F.concat(settled, free), around)
-    bare = lambda c: F.transform(c, lambda x: x.withField("match", F.lit("")))  # noqa: E731  nothing personal is written
-    found = staged(judged.select(
-        *(F.col(f"`{c}`") for c in names), *(["_text"] if redact else []), bare(ordered(F.col("good"))).alias("base"),
-        F.when((F.size("raw") > 0) | (F.size("loose") > 0), F.md5("_text")).alias("_key"), candidates.alias("_candidates")))
+    any_ = (F.size("raw") > 0) | (F.size("loose") > 0)
+    candidates = let(F.when(any_, blocks(value)), lambda pieces: F.transform(F.concat(settled, free), lambda x: around(pieces, x)))
+    found = staged(judged.select(  # nothing personal is written
+        *own, *(["_text"] if redact else []), without_text(ordered(F.col("good"))).alias("base"),
+        F.when(any_, F.md5("_text")).alias("_key"), candidates.alias("_candidates")))
     added = _added(found.filter("_key is not null").groupBy("_key").agg(F.min("_candidates").alias("_candidates")))
     out = found.filter("_key is not null").join(added, "_key", "left").withColumn("_more", F.coalesce("_more", none())).unionByName(
         found.filter("_key is null").withColumn("_more", none()))
     out = out.withColumn("spans", ordered(F.col("base"), F.col("_more")))
-    from terrace.llm.secret_scan import _redacted
-
-    return out.select(*(F.col(f"`{c}`") for c in names), "base", "spans", *([_redacted(F.col("_text"), F.col("spans")).alias(text)] if redact else []))
+    return out.select(*back, "base", "spans", *([redacted(F.col("_text"), F.col("spans")).alias(text)] if redact else []))
 
 
-def _features(text: Column, x: Column) -> list[Column]:
+def _features(pieces: Column, x: Column) -> list[Column]:
     """What the trees see of a candidate besides its kind and clues, in the order of ``FEATURES``."""
     match = x["match"]
     digits = _digits(match)
     n = F.char_length(digits)
-    before = _before(text, x)
-    after = F.substring(text, x["e"] + 1, F.lit(1))
+    before = _before(pieces, x)
+    after = cut(pieces, x["e"], x["e"] + 1)
     size = lambda pattern: F.char_length(match) - F.char_length(F.regexp_replace(match, pattern, ""))
     kind_of = lambda c: F.when(c.rlike("[A-Za-z]$"), 2).when(c.rlike("[0-9]$"), 3).when(c.rlike(r"\S$"), 1).otherwise(0)
     return [

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD_SPACE, staged, text_of
+from terrace.llm.common import WORD_SPACE, other_columns, staged, text_of
 
 ROUNDS, KEEP = 30, 0.5
 WINDOW = 5
@@ -39,12 +39,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the counts in ``COUNTS``; columns of these names are replaced.
+    """All columns of ``docs`` and the counts in ``COUNTS``; columns of these names are replaced, others may have any name.
 
     Null and empty texts have all counts 0. Texts are read whole; a row is handled by itself, so
     repeated rows and null ids make no difference.
     """
-    kept = [docs[c] for c in docs.columns if c not in COUNTS]
+    kept, back = other_columns(docs, *COUNTS)
     value = F.col("_text")
     space = F.lit(WORD_SPACE)
     first = docs.select(*kept, text_of(docs, text).alias("_text"))
@@ -60,9 +60,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda i: F.xxhash64(*(F.get("_hash", i + k) for k in range(WINDOW)))))
     fourth = third.select("*", windows.alias("_windows"))
     fifth = _covered(fourth)
-    kept_names = [c for c in docs.columns if c not in COUNTS]
     return fifth.select(
-        *(F.col(f"`{c}`") for c in kept_names),
+        *back,
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count(value, "#*$%&|<>").alias("n_symbols"),
@@ -179,7 +178,7 @@ def quality(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFram
     empty one; other columns come along, and columns of the added names are replaced.
     """
     own = {*COUNTS, "base_failed", "p_good", "kept"}
-    counts = quality_counts(docs.select(*(docs[c] for c in docs.columns if c not in own)), text)
+    counts = quality_counts(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in own)), text)
     return judged(counts, fit(counts), keep)
 
 

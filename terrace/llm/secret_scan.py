@@ -4,6 +4,7 @@ Base spans are strong by their format. Weaker parts (names of users and clients,
 key blocks) are common in harmless text. They are reported only when complementary parts co-occur: parts of a document
 are dealt into scopes of ``SCOPE`` characters, interval-joined with the parts of the own and the neighbouring scopes, and
 kept if a part of the role they need lies within ``SCOPE`` characters: the gap from the end of the one to the start of the other.
+Parts that overlap are readings of the same characters, so they do not complement each other.
 A part is dealt to all scopes that it covers, and a pair meets in the first that both have. A scope holds few parts, so the
 join grows with the number of parts and their length.
 
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import staged, text_of
-from terrace.llm.spans import NONE, listing, none, ordered, spans
+from terrace.llm.common import other_columns, staged, text_of
+from terrace.llm.spans import NONE, listing, none, ordered, redacted, spans, without_text
 
 SCOPE = 200
 _KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
@@ -61,27 +62,25 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
     The text is left out unless ``redact`` asks for it with each span replaced by its kind in brackets. Null and
     empty texts have no spans. Repeated rows, and equal texts, have equal spans; ids are not used, so they may be
-    null. Input columns named base or spans are replaced. An empty table gives an empty one.
+    null. Input columns named base or spans are replaced, others may have any name. An empty table gives an empty one.
     """
-    kept = [docs[c] for c in docs.columns if c not in ("base", "spans", text)]
+    kept, back = other_columns(docs, "base", "spans", text)
+    own = [f"in_{i}" for i in range(len(kept))]
     value = F.col("_text")
     every = F.concat("assign", "access", "hex", "weak")
-    bare = lambda c: F.transform(c, lambda x: x.withField("match", F.lit("")))  # noqa: E731  no secret is written
     found = docs.select(*kept, text_of(docs, text).alias("_text")).select(
         "*", *(c.alias(k) for k, c in base_spans(value).items()), weak_spans(value).alias("weak"))
     # Only weak parts need others, so only texts with one are linked.
     linkable = (F.size("weak") > 0) & (F.size(every) > 1)
-    names = [c for c in docs.columns if c not in ("base", "spans", text)]
-    found = found.select(
-        *(F.col(f"`{c}`") for c in names), *(["_text"] if redact else []), bare(ordered(F.concat("assign", "access", "hex"))).alias("base"),
-        F.when(linkable, F.md5("_text")).alias("_key"), F.when(linkable, bare(ordered(every))).alias("_parts"))
+    found = found.select(  # no secret is written
+        *own, *(["_text"] if redact else []), without_text(ordered(F.concat("assign", "access", "hex"))).alias("base"),
+        F.when(linkable, F.md5("_text")).alias("_key"), F.when(linkable, without_text(ordered(every))).alias("_parts"))
     found = staged(found)
     linked = _linked(found.filter("_key is not null").groupBy("_key").agg(F.min("_parts").alias("_parts")))
     out = found.filter("_key is not null").join(linked, "_key", "left").withColumn("_linked", F.coalesce("_linked", none())).unionByName(
         found.filter("_key is null").withColumn("_linked", none()))
     out = out.withColumn("spans", ordered(F.col("base"), F.col("_linked")))
-    order = [*(F.col(f"`{c}`") for c in names), "base", "spans"]
-    return out.select(*order, *([_redacted(F.col("_text"), F.col("spans")).alias(text)] if redact else []))
+    return out.select(*back, "base", "spans", *([redacted(F.col("_text"), F.col("spans")).alias(text)] if redact else []))
 
 
 def _linked(texts: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def _linked(texts: DataFrame) -> DataFrame:
     left = parts.filter(F.col("rank") >= BASE).select("*", scope(F.col("s") - SCOPE - 1).alias("low"), dealt(F.col("s") - SCOPE - 1, F.col("e") + SCOPE))
     right = parts.select("_key", dealt(F.col("s"), F.col("e") - 1), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("role").alias("role2"))
     near = left.join(right, ["_key", "scope"]).filter(
-        (F.col("role") != F.col("role2")) & (F.col("s2") - F.col("e") <= SCOPE) & (F.col("s") - F.col("e2") <= SCOPE)
+        (F.col("role") != F.col("role2")) & ((F.col("s2") - F.col("e")).between(0, SCOPE) | (F.col("s") - F.col("e2")).between(0, SCOPE))
         & (F.col("scope") == F.greatest(F.col("low"), scope(F.col("s2")))))
     has = lambda r: F.max((F.col("role2") == r).cast("int"))
     judged = near.groupBy("_key", "s", "e", "kind", "rank", "role").agg(
@@ -107,20 +106,6 @@ def _linked(texts: DataFrame) -> DataFrame:
     return judged.filter(enough).groupBy("_key").agg(F.collect_list(one).cast(NONE).alias("_linked"))
 
 
-def _redacted(text: Column, found: Column) -> Column:
-    """The text with every span, or group of overlapping ones, replaced by [kind]."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = F.greatest(acc["at"], x["s"])
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.when(x["s"] >= acc["at"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(""))
-        return F.struct(new.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
-
-    done = F.aggregate(found, start, add)
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(
-        F.array(done), F.lit(""), lambda _, d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text)))))
-
-
 def digest(found: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, and all spans as text."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
