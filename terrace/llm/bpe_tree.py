@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from terrace.llm.common import Encoder, text_of
 
 #: Characters of a leaf, and of the first window on each side of a seam.
-LEAF, WINDOW = 8192, 64
+LEAF, WINDOW = 64, 16
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
 
 
@@ -94,7 +94,7 @@ class Tree:
         return n
 
     def _window(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
+        if len(text) <= max(self.leaf, 4 * self.window):
             return self.encoder.ids(text)
         out: list[int] = []
         for match in self.matches.findall(text):

@@ -79,3 +79,19 @@ def test_overlapping_parts_do_not_complement_each_other(spark):
     got = secret_scan.digest(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
     assert [r.spans for r in got[:2]] == ["", ""]
     assert {x.split(":")[0] for x in got[2].spans.split(",")} == {"endpoint", "mixed", "identifier"}
+
+
+def test_texts_above_a_leaf_go_through_the_tree():
+    from terrace.llm.bpe_tree import LEAF, Tree, multi_vocabulary
+    from terrace.llm.common import Encoder
+
+    encoder = Encoder.of(**multi_vocabulary())
+    tree, seams = Tree(encoder), []
+    joined = tree._join
+    tree._join = lambda *node: seams.append(node[1:4]) or joined(*node)
+    for text in ("a" * (LEAF + 1), "some words and 12345 numbers, don't stop\n\n\n  here " * 5, "中文没有空格的长文本" * 40, " " * 300 + "x", "Zz9" * 400):
+        before = len(seams)
+        assert tree.encode(text) == encoder.exact.encode_ordinary(text)
+        assert len(seams) - before >= len(text) // LEAF
+        assert tree.decode(tree.encode(text)).decode() == text
+    assert LEAF <= 64
