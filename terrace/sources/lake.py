@@ -1,21 +1,25 @@
 """Lakehouse tables: parquet snapshots under ``<root>/<layer>/<table>``.
 
-Every write makes a new snapshot folder. Readers take the newest folder in which Spark has left its
+An overwrite makes a new snapshot folder. Readers take the newest folder in which Spark has left its
 ``_SUCCESS`` file, so a table changes at once or not at all, nothing is overwritten while being read, and
-a lost executor or driver leaves the old snapshot in place. An append writes its own rows only: its
-snapshot's manifest lists the earlier folders that hold the others. A table has one writer at a time.
+a lost executor or driver leaves the old snapshot in place. An append is Spark's own append to the newest
+snapshot. Streams land in a folder of their own beside the snapshots, written by Spark's file sink, whose
+log makes every batch count once; a table is its newest snapshot and all that streams have landed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from terrace import constants as K
 from terrace.functions.dates import parse_date
@@ -26,7 +30,7 @@ from terrace.functions.names import (
 from terrace.functions.numbers import as_number
 from terrace.operators.join import align_columns, append_rows, repeated_keys, upsert_rows
 
-_SCHEMA, _MANIFEST, _APPENDED = "_schema.json", "_manifest.json", "-appended"
+_SCHEMA = "_schema.json"
 
 
 class Lake:
@@ -54,65 +58,53 @@ class Lake:
         return sorted(p.getParent().toString() for p in done)
 
     def exists(self, layer: str, table: str) -> bool:
-        return bool(self.snapshots(layer, table))
+        return bool(self.snapshots(layer, table) or self.landings(layer, table))
+
+    def landings(self, layer: str, table: str) -> list[str]:
+        """Folders that streams have landed rows in."""
+        logs = self._glob(f"{self.folder(layer, table)}/stream-*/_spark_metadata")
+        return sorted(p.getParent().toString() for p in logs)
 
     def tables(self) -> list[tuple[str, str]]:
+        marks = [
+            *self._glob(f"{self.root}/*/*/v=*/_SUCCESS"),
+            *self._glob(f"{self.root}/*/*/stream-*/_spark_metadata"),
+        ]
         found = {
             (p.getParent().getParent().getParent().getName(), p.getParent().getParent().getName())
-            for p in self._glob(f"{self.root}/*/*/v=*/_SUCCESS")
+            for p in marks
         }
         return sorted(t for t in found if t[0] in K.LAYERS)
 
     def _new_snapshot(self, layer: str, table: str) -> str:
         return f"{self.folder(layer, table)}/v={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    def _save(self, path: str, text: str) -> None:
-        fs, target = self._fs(path)
+    def _save_schema(self, folder: str, schema: T.StructType) -> None:
+        fs, target = self._fs(f"{folder}/{_SCHEMA}")
         out = fs.create(target, True)
-        out.write(bytearray(text, "utf-8"))
+        out.write(bytearray(schema.json(), "utf-8"))
         out.close()
 
-    def _load(self, path: str) -> str | None:
-        fs, target = self._fs(path)
-        if not fs.exists(target):
-            return None
+    def _load_schema(self, folder: str) -> T.StructType:
+        fs, target = self._fs(f"{folder}/{_SCHEMA}")
         stream = fs.open(target)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return text
-
-    def _save_schema(self, snapshot: str, schema: T.StructType) -> None:
-        self._save(f"{snapshot}/{_SCHEMA}", schema.json())
-
-    def _load_schema(self, snapshot: str) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self._load(f"{snapshot}/{_SCHEMA}")))
+        return T.StructType.fromJson(json.loads(text))
 
-    def _manifest(self, snapshot: str) -> dict:
-        """Earlier folders that hold rows of this snapshot too, and the last batch of each stream in it."""
-        return json.loads(self._load(f"{snapshot}/{_MANIFEST}") or '{"folders": [], "batches": {}}')
-
-    def _commit(self, df: DataFrame, snapshot: str, schema: T.StructType, manifest: dict) -> None:
-        """Write a snapshot. Schema and manifest are there before ``_SUCCESS`` makes it visible."""
-        try:
-            self._save_schema(snapshot, schema)
-            self._save(f"{snapshot}/{_MANIFEST}", json.dumps(manifest))
-            df.write.mode("append").parquet(snapshot)
-        except Exception:
-            fs, target = self._fs(snapshot)
-            fs.delete(target, True)
-            raise
+    def _drop(self, folder: str) -> None:
+        fs, target = self._fs(folder)
+        fs.delete(target, True)
 
     # --- reading -----------------------------------------------------------------------------
 
     def read(self, layer: str, table: str) -> DataFrame:
-        """The newest snapshot. Its stored schema saves reading file footers."""
-        snapshots = self.snapshots(layer, table)
-        if not snapshots:
+        """The newest snapshot and what streams have landed. Stored schemas save reading file footers."""
+        folders = [*self.snapshots(layer, table)[-1:], *self.landings(layer, table)]
+        if not folders:
             raise ValueError(f"table {layer}.{table} not found")
-        schema = self._load_schema(snapshots[-1])
-        earlier = self._manifest(snapshots[-1])["folders"]
-        folders = [f"{self.folder(layer, table)}/{name}" for name in earlier]
-        return self.spark.read.schema(schema).parquet(*folders, snapshots[-1])
+        parts = [self.spark.read.schema(self._load_schema(f)).parquet(f) for f in folders]
+        return reduce(append_rows, parts)
 
     def find(self, name: str) -> DataFrame:
         """A table by ``layer.table``, or by name in the first layer that has it."""
@@ -126,51 +118,65 @@ class Lake:
 
     # --- writing -----------------------------------------------------------------------------
 
-    def overwrite(
-        self, df: DataFrame, layer: str, table: str, batch: tuple[str, int] | None = None
-    ) -> int:
-        """Write a new snapshot and keep the three before it, each with what was appended to it."""
+    def overwrite(self, df: DataFrame, layer: str, table: str) -> int:
+        """Write a new snapshot and keep the three before it. A table that a stream feeds only grows."""
+        if self.landings(layer, table):
+            raise ValueError(f"table {layer}.{table} is fed by a stream: rows can only be added")
         snapshot = self._new_snapshot(layer, table)
         old = self.snapshots(layer, table)
-        batches = self._manifest(old[-1])["batches"] if old else {}
-        manifest = {"folders": [], "batches": {**batches, **dict([batch] if batch else [])}}
-        self._commit(df, snapshot, _nullable(df.schema), manifest)
-        whole = [p for p in old if not p.endswith(_APPENDED)]
-        if len(whole) > K.BACKUPS_KEPT:
-            for path in old[: old.index(whole[-K.BACKUPS_KEPT])]:
-                fs, target = self._fs(path)
-                fs.delete(target, True)
+        self._begin(df, snapshot)
+        for path in old[: -K.BACKUPS_KEPT]:
+            self._drop(path)
         return self.count(layer, table)
 
-    def append(
-        self, df: DataFrame, layer: str, table: str, batch: tuple[str, int] | None = None
-    ) -> int:
-        """Add rows in a new snapshot. Returns how many.
+    def _begin(self, df: DataFrame, snapshot: str) -> None:
+        """Write a snapshot. The schema is there before ``_SUCCESS`` makes it visible."""
+        try:
+            self._save_schema(snapshot, _nullable(df.schema))
+            df.write.mode("append").parquet(snapshot)
+        except Exception:
+            self._drop(snapshot)
+            raise
+
+    def append(self, df: DataFrame, layer: str, table: str) -> int:
+        """Add rows to the newest snapshot. Returns how many.
 
         New columns are added. Where the types of a column differ, the wider one counts; if that is not
         the table's, the table is written anew. A value that has no form in that type ends the write
-        with an error, and the table stays as it was. ``batch``, a stream's id and the number of its
-        batch, is recorded with the snapshot: a batch that is there already is not added again.
+        with an error, and the table stays as it was.
         """
+        old = self.snapshots(layer, table)
         if not self.exists(layer, table):
-            return self.overwrite(df, layer, table, batch)
-        last = self.snapshots(layer, table)[-1]
-        manifest = self._manifest(last)
-        if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
-            return 0
+            return self.overwrite(df, layer, table)
         current = self.read(layer, table)
-        df = align_columns(current, df)
-        schema = _common_schema(current.schema, df.schema)
-        df = _cast_to(df, schema)
-        if schema.fields[: len(current.columns)] != _nullable(current.schema).fields:
+        df, schema, fits = _fitted(current, df)
+        if not fits:
             rows = current.count()
-            return self.overwrite(append_rows(_cast_to(current, schema), df), layer, table, batch) - rows
-        snapshot = self._new_snapshot(layer, table) + _APPENDED
-        self._commit(df, snapshot, schema, {
-            "folders": [*manifest["folders"], last.rsplit("/", 1)[-1]],
-            "batches": {**manifest["batches"], **dict([batch] if batch else [])},
-        })
-        return self.spark.read.schema(schema).parquet(snapshot).count()
+            return self.overwrite(append_rows(_cast_to(current, schema), df), layer, table) - rows
+        if not old:  # so far there are rows of streams only
+            snapshot, before = self._new_snapshot(layer, table), set()
+            self._begin(df, snapshot)
+        else:
+            snapshot, before = old[-1], set(self.spark.read.schema(schema).parquet(old[-1]).inputFiles())
+            df.write.mode("append").parquet(snapshot)
+            if len(schema) > len(current.columns):
+                self._save_schema(snapshot, schema)
+        added = [f for f in self.spark.read.schema(schema).parquet(snapshot).inputFiles() if f not in before]
+        return self.spark.read.schema(schema).parquet(*added).count() if added else 0
+
+    def land(self, stream: DataFrame, layer: str, table: str, checkpoint: str) -> DataStreamWriter:
+        """A writer that lands a stream's rows in the table, each batch once, as Spark's file sink does.
+
+        Columns get the table's types; new ones are added. A stream whose types are wider than the table's is refused.
+        A checkpoint stands for one stream, which has one folder for good.
+        """
+        folder = f"{self.folder(layer, table)}/stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+        if self.exists(layer, table):
+            stream, schema, fits = _fitted(self.read(layer, table), stream)
+            if not fits:
+                raise ValueError(f"the stream's types are wider than those of {layer}.{table}: {schema.simpleString()}")
+        self._save_schema(folder, _nullable(stream.schema))
+        return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
 
     def upsert(self, df: DataFrame, layer: str, table: str, keys: list[str]) -> int:
         """Merge rows by key into a new snapshot. Keys must be unique and present in the batch."""
@@ -330,6 +336,13 @@ def preview(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     return shown.limit(K.PREVIEW_ROWS), df.agg(F.count(F.lit(1)).alias("total"))
 
 
+def _fitted(current: DataFrame, df: DataFrame) -> tuple[DataFrame, T.StructType, bool]:
+    """A batch with the names and types of a table, the schema of both, and whether the table's part of it is as before."""
+    df = align_columns(current, df)
+    schema = _common_schema(current.schema, df.schema)
+    return _cast_to(df, schema), schema, schema.fields[: len(current.columns)] == _nullable(current.schema).fields
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

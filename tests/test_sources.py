@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -222,23 +223,52 @@ def test_append_and_upsert_lose_no_values(spark, lake):
         lake.append(spark.createDataFrame([(4, 2**53 + 1)], "id int, n bigint"), "silver", "t")
 
 
-def test_append_is_a_snapshot_of_its_own(spark, lake):
+def test_append_adds_its_own_files_only(spark, lake):
     lake.overwrite(spark.range(2), "silver", "t")
     before = lake.read("silver", "t")
-    lake.append(spark.range(3), "silver", "t")
-    lake.append(spark.range(4), "silver", "t")
+    old = set(before.inputFiles())
+    assert lake.append(spark.range(3), "silver", "t") == 3
+    assert lake.append(spark.range(4), "silver", "t") == 4
+    assert lake.append(spark.range(0), "silver", "t") == 0
     assert before.count() == 2 and lake.read("silver", "t").count() == 9
-    failing = spark.range(1).selectExpr("cast(raise_error('no') as bigint) as id")
+    assert old < set(lake.read("silver", "t").inputFiles()) and len(lake.snapshots("silver", "t")) == 1
+    failing = spark.range(1).selectExpr("cast(raise_error('no') as bigint) as id", "1 as more")
     with pytest.raises(Exception, match="no"):
         lake.append(failing, "silver", "t")
-    assert lake.read("silver", "t").count() == 9
+    assert lake.read("silver", "t").count() == 9 and lake.read("silver", "t").columns == ["id"]
     for n in range(1, 6):
         lake.overwrite(spark.range(n), "silver", "t")
     assert len(lake.snapshots("silver", "t")) == 4
-    assert lake.append(spark.range(5), "silver", "t", ("s", 0)) == 5
-    assert lake.append(spark.range(5), "silver", "t", ("s", 0)) == 0
-    assert lake.append(spark.range(5), "silver", "t", ("s", 1)) == 5
-    assert lake.read("silver", "t").count() == 15
+    assert lake.append(spark.range(5), "silver", "t") == 5 and lake.read("silver", "t").count() == 10
+
+
+def test_streams_and_batches_share_a_table(spark, lake, tmp_path):
+    from terrace.streaming.ingest import append_stream, landed_files
+
+    landing, marks = tmp_path / "in", [str(tmp_path / "c1"), str(tmp_path / "c2")]
+    landing.mkdir()
+    write(landing / "1.csv", "id,v\n1,a\n2,b\n")
+    for n in range(12):  # past the batch at which the sink's log is compacted
+        if n:
+            write(landing / f"{n + 1}.csv", f"id,v\n{n + 2},x\n")
+        append_stream(landed_files(spark, str(landing), ["id", "v"], 5).drop("_ingested_at"), lake, "bronze", "t", marks[0]).awaitTermination()
+    assert lake.read("bronze", "t").count() == 13 and lake.tables() == [("bronze", "t")]
+    # Files without an entry in the sink's log, as a failed batch leaves them, are not read.
+    lake.read("bronze", "t").write.mode("append").parquet(str(tmp_path / "stray"))
+    stray = next((tmp_path / "stray").glob("part-*"))
+    (Path(lake.landings("bronze", "t")[0].removeprefix("file:")) / stray.name).write_bytes(stray.read_bytes())
+    assert lake.read("bronze", "t").count() == 13
+    # A batch may add rows and columns, a second stream its own rows; nothing may replace them.
+    assert lake.append(spark.createDataFrame([("90", "y", "new")], "ID string, v string, more string"), "bronze", "t") == 1
+    assert lake.append(spark.createDataFrame([("91", "z")], "id string, v string"), "bronze", "t") == 1
+    append_stream(landed_files(spark, str(landing), ["id", "v"], 6).drop("_ingested_at"), lake, "bronze", "t", marks[1]).awaitTermination()
+    got = lake.read("bronze", "t")
+    assert got.count() == 28 and [r.more for r in got.filter("more is not null").collect()] == ["new"]
+    with pytest.raises(ValueError, match="fed by a stream"):
+        lake.overwrite(spark.range(1), "bronze", "t")
+    with pytest.raises(ValueError, match="fed by a stream"):
+        lake.append(spark.createDataFrame([(1.5,)], "_source_id double"), "bronze", "t")
+    assert lake.read("bronze", "t").count() == 28
 
 
 def test_encoding_is_judged_on_the_whole_input(spark, tmp_path):
