@@ -15,19 +15,30 @@ from terrace.llm.bitmap import Bitmap
 from terrace.llm.common import freeing, reachable, staged
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The texts, and each whole row in one column, so that no column of the documents meets one of an operator."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a toxicity score under 0.5."""
+    """Keep documents with a toxicity score under 0.5. Null and empty texts are scored as the classifier scores no words.
+
+    Repeated rows are alike, an empty table gives an empty one, further columns may have any name and come along.
+    """
     reachable(spark)
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_packed(docs), model).filter("predicted = 0").select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the quality rules accept."""
+    """Keep documents that the quality rules accept. Rows without words go, so null and empty texts do.
+
+    Repeated rows are alike, an empty table gives an empty one, further columns may have any name and come along.
+    """
     reachable(spark)
     # Staged with the texts: a filter on the verdict would otherwise be planned as one expression over all the counts.
-    counts = staged(quality_rules.with_counts(docs))
-    return quality_rules.judged(counts, quality_rules.fit(counts)).filter("kept").select(*docs.columns)
+    counts = staged(quality_rules.with_counts(_packed(docs)).drop("text"))
+    return quality_rules.judged(counts, quality_rules.fit(counts)).filter("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +71,14 @@ def _without(keyed: DataFrame, marked: DataFrame, seen: Bitmap) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts by its kind; ``n_chars`` follows the new text."""
-    clean = secret_scan.scan(docs, redact=True)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Replace every secret in the texts by its kind; ``n_chars`` follows the new text. Null texts become empty ones.
+
+    Repeated rows are alike, an empty table gives an empty one, further columns may have any name and come along.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    clean = secret_scan.scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), "text"), redact=True)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return clean.select(*(new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
