@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from terrace.llm.common import staged
 
@@ -30,3 +32,16 @@ def test_near_duplicates_are_dropped_by_row(spark):
     starts = sorted(r.text.split(" ")[0] for r in left)
     assert starts == ["", "", "w0x0", "w1x0", "w2x0", "w3x0", "w4x0"]
     assert (1, text(1)) in [tuple(r) for r in left] and sorted(r.doc_id for r in left if not r.text) == [4, 5]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["kept", "score", "predicted", "base", "spans", "row", "key", "_row", "n_words", "hex", "p_good"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    docs = staged(docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))))
+    before = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, SF)
+        assert left.schema.names == docs.schema.names, name
+        rows = left.collect()
+        assert rows and all(r[n] == before[r.doc_id][n] for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
