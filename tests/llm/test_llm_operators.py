@@ -367,6 +367,36 @@ def test_extraction(spark, tables, nothing):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def _site(spark, name, pages):
+    return spark.createDataFrame([(i, f"http://{name}.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    story = lambda i: f"story {i} " + f"word{i} " * 20
+    promo = "<div class=box>Buy our book today</div>"
+    # A block on half of the pages, at different places, is template; so is the menu of a host with three pages.
+    half = [f"<div>{'<p>x' + str(i) + '</p>' if i % 3 == 0 else ''}{promo if i % 2 else ''}<p>{story(i)}</p></div>" for i in range(20)]
+    got = by_id(html_extract.extract(_site(spark, "half", half)), "page_id")
+    assert all("book" not in r.text and story(i).strip() in r.text and ("x%d" % i in r.text) == (i % 3 == 0) for i, r in got.items()) and len(got) == 20
+    small = [f"<ul><li>Home<li>About us</ul><p>{story(i)}</p>" for i in range(3)]
+    assert {r.text for r in html_extract.extract(_site(spark, "small", small)).collect()} == {story(i).strip() for i in range(3)}
+    # Without the mark of the article, and without roles, its alignment decides.
+    plain = [f"<div><div>Menu one</div><div>Menu two</div></div><div><h1>Head {i}</h1><p>{story(i)}</p></div><div>All rights kept</div>" for i in range(7)]
+    assert {r.text for r in html_extract.extract(_site(spark, "plain", plain)).collect()} == {f"Head {i}\n{story(i).strip()}" for i in range(7)}
+
+
+def test_copies_and_shared_passages_are_no_template(spark):
+    story = lambda i: f"story {i} " + f"word{i} " * 20
+    # Copies of a page count once, whatever differs besides their longest block.
+    copies = [f"<p>Dear readers</p><p>{story(0)}</p><p>edition {i % 2}</p>" for i in range(8)]
+    got = by_id(html_extract.extract(_site(spark, "copies", copies)), "page_id")
+    assert all(r.text == f"Dear readers\n{story(0).strip()}\nedition {i % 2}" for i, r in got.items())
+    # A passage that many marked articles share stays, one that all have does not.
+    quoted = [f"<article><p>By our staff</p>{'<p>A quoted passage</p>' if i < 7 else ''}<p>{story(i)}</p></article><div>Imprint</div>" for i in range(10)]
+    got = by_id(html_extract.extract(_site(spark, "quoted", quoted)), "page_id")
+    assert all(r.text == ("A quoted passage\n" if i < 7 else "") + story(i).strip() for i, r in got.items())
+
+
 def test_near_duplicates_without_or_under_one_id(spark):
     text = lambda k, more="": " ".join(f"w{k}x{i}" for i in range(60)) + more
     rows = [(1, text(0)), (None, text(0, " more")), (None, text(1)), (None, text(1, " more")), (5, text(2)), (5, text(3)), (7, text(3, " a")), (8, text(3, " b")), (9, None)]
