@@ -62,6 +62,22 @@ def test_token_counts_equal_the_library(docs, tables, nothing):
     assert token_counts.count_tokens(nothing).collect() == []
 
 
+def test_texts_without_spaces_are_cut_into_pre_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["词语" * 500 + "，" + "文本。" * 300, "QUJD+/09" * 400, f"a{end}" * 60, f"!!{end}?{end}" * 40 + "'s" * 50, "x" * 5000, " " * 900 + "y" * 90 + "\t" * 70,
+             "{'a':1,\"b\":[2,3]}" * 200, "\0" * 80 + "12 row", "don't" * 40 + "  " + "z" * 64, "z" * 65] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = token_counts._units(P.PATTERN, ((end, 50256),))
+    assert max(map(len, cut(texts[1]))) <= 8 and end in cut(texts[3]) and all("".join(cut(t)) == t for t in texts)
+    for head in (1, 1 << 20):  # all units joined, and all broadcast
+        got = by_id(token_counts.count_tokens(rows, head=head))
+        assert [got[i].n_tokens for i in range(len(texts))] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_tree_equals_the_library_and_round_trips(docs, nothing):
     encoder = Encoder.of(**bpe_tree.multi_vocabulary())
     tree = bpe_tree.Tree(encoder, leaf=32, window=2)
