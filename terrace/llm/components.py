@@ -11,13 +11,13 @@ from terrace.llm.common import staged
 def components(edges: DataFrame) -> DataFrame:
     """Columns node and component, the smallest node reachable; one row for each node with an edge.
 
-    ``edges`` has the columns u and v of one ordered type; loops, repeated edges and nulls are ignored.
-    Every round is written to the shared folder. Minima are combined before the shuffle, and the joins back are inner
+    ``edges`` has the columns u and v of one ordered type; loops, repeated edges and nulls are ignored. The first
+    round reads them several times, so they should be staged.
+    Every round is written to the shared folder, and the last one is that which leaves stars. Minima are combined before the shuffle, and the joins back are inner
     joins, so the centre of a large star is split by adaptive execution. Rounds grow with the logarithm of the
     longest path.
     """
-    now = staged(_pairs(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")))
-    mark = _mark(now)
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,8 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = staged(_pairs(
             small.filter("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
             .unionAll(least.select("u", F.col("m").alias("v")))))
-        before, mark = mark, _mark(now)
-        if before == mark:
+        if _stars(now):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -38,5 +37,8 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that hangs on a lesser one hangs on that one alone, and none hangs on it. Nothing would change any more then."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 0 and up + down > 1").isEmpty()

@@ -142,7 +142,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     named = classes.select("key", "node", "copies").join(counts, "key", "left")
     edges = (found.filter("other is not null").select("key", "other")
              .join(classes.select("key", F.col("node").alias("u")), "key").join(classes.select(F.col("key").alias("other"), F.col("node").alias("v")), "other").select("u", "v"))
-    named = named.join(components(edges), "node", "left").select(
+    named = named.join(components(staged(edges)), "node", "left").select(
         "key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     bare = keyed.select("_id", "key")
     out = bare.filter("key is not null").join(named, "key").select("_id", "n_links", "component_id").unionAll(

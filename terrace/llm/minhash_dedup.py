@@ -8,16 +8,19 @@ Equal sets are one class before anything else. A half-key that no other class ha
 table key, so pairs are formed only of shared ones. Within a bucket not all pairs are compared: every
 class is compared with the bucket's hub first, the class whose buckets are fullest, then with a leader of each bucket's own.
 Classes already known to be connected are not compared again. What is left, classes of different components that share a
-table, is compared pair by pair, each pair once, so no link that could join two components is lost. Two exact bounds keep
+table, is compared pair by pair, each pair once, so no link that could join two components is lost. The members of the component
+that has most of a half-key are not paired among themselves. Two exact bounds keep
 texts that merely resemble a large group out of that: shingles that no other class left over has cannot be shared, so a class
-with too many of them is left out before pairs are formed; and two sets share at most the sum, over ``PARTS`` parts of the hash
-range, of the smaller of their counts. All links are confirmed on the full sets of 64-bit shingle hashes.
+with too many of them is left out before pairs are formed; and a shingle is not shared if the other set has none with the same
+place in a sketch of ``SKETCH`` bits. All links are confirmed on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ _HASHES = 2 * SIDE * ROWS
 #: Odd factors of the minhash functions, from a fixed seed.
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 15
-PARTS = 64
+SKETCH = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,37 +135,28 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int)
     wanted = buckets.select("node").distinct().join(classes.select("node", "set_id", "name", "hash"), "node")
     sets = staged(_sets(texts, wanted, words))
     close = (100 * F.least("n", "n2") >= similar * F.greatest("n", "n2"))
-    links = tested = component = None
+    links = component = None
     for turn in range(LEADER_ROUNDS + 1):
         if component is None:
             known = buckets.withColumn("c", F.col("node"))
         else:
             known = buckets.join(component.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
             known = staged(known)
-            mixed = known.groupBy("table_key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("table_key")
-            known = staged(known.join(mixed, "table_key"))
-            if known.isEmpty():
-                break
+        # Tables all of whose classes are connected already have nothing left to link.
+        mixed = (F.min("c").alias("c0"), F.max("c").alias("c1"))
         if turn < LEADER_ROUNDS:
             order = F.col("weight") if turn == 0 else F.xxhash64("node", "table_key", F.lit(turn))
-            leaders = known.groupBy("table_key").agg(F.max(F.struct(order.alias("o"), "node", "n", "c")).alias("l")).select(
+            leaders = known.groupBy("table_key").agg(*mixed, F.max(F.struct(order.alias("o"), "node", "n", "c")).alias("l")).filter("c0 <> c1").select(
                 "table_key", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.c").alias("c2"))
             pairs = known.join(leaders, "table_key").filter((F.col("c") != F.col("c2")) & close).select("node", "node2")
         else:
-            # Each pair once: at the first of the half-keys that both have, if they share one of the other side, too.
-            rest = _linkable(known.select("node", "c").distinct(), sets, similar).join(halved, "node")
-            one = rest.select(F.explode("a").alias("key"), "*")
-            two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c", "usable", "parts")))
-            pairs = one.join(two, "key").filter(
-                (F.col("c") < F.col("c2")) & close & _within(F.least("usable", "usable2"), similar)
-                & F.arrays_overlap("b", "b2") & (F.array_min(F.array_intersect("a", "a2")) == F.col("key"))
-                & _within(F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x), similar)).select("node", "node2")
+            left = known.groupBy("table_key").agg(*mixed).filter("c0 <> c1").select("table_key")
+            left = staged(known.join(left, "table_key").select("node", "c").distinct())
+            if left.isEmpty():
+                break
+            pairs = _apart(_linkable(left, sets, similar).join(halved, "node"), similar)
         pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        results = staged(_confirmed(pairs, sets, similar))
-        new = results.filter("linked").select("u", "v")
-        tested = results.select("u", "v") if tested is None else tested.unionAll(results.select("u", "v"))
+        new = staged(_confirmed(pairs, sets, similar)).filter("linked").select("u", "v")
         if component is None or not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             component = components(links)
@@ -171,17 +165,41 @@ def _components(texts: DataFrame, classes: DataFrame, words: int, similar: int)
 
 def _within(shared: Column, similar: int) -> Column:
     """Whether sets of n and n2 shingles can be similar with ``shared`` common ones at most."""
-    return 100 * shared >= similar * (F.col("n") + F.col("n2") - shared)
+    return (100 + similar) * shared >= similar * (F.col("n") + F.col("n2"))
+
+
+def _apart(rest: DataFrame, similar: int) -> DataFrame:
+    """Pairs of classes of different components that share a table and can be similar by size, shared shingles and sketches. Of a half-key's
+    rows only those outside of its largest component are joined with all, so the pairs within one large component are never formed."""
+    words = range(SKETCH // 64)
+    one = rest.select(F.explode("a").alias("key"), *(c for c in rest.columns if c != "sketch"), *(F.col("sketch")[i].alias(f"s{i}") for i in words))
+    major = one.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most")).select("key", F.col("most.c").alias("major"))
+    # Staged, so that adaptive execution can split the join that follows at a frequent key.
+    minor = staged(one.join(major, "key").filter("c <> major"))
+    two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c", "usable")), *(F.col(f"s{i}").alias(f"t{i}") for i in words))
+    # Each bit that only one of two sketches has stands for a shingle at least that the other set lacks.
+    lacking = lambda x, y: reduce(add, (F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in words))
+    # Each pair once: at the first of the half-keys that both have, if they share one of the other side, too.
+    return minor.join(two, "key").filter(
+        F.expr("c <> c2 and (c2 = major or c < c2)") & _within(F.least("usable", "usable2"), similar)
+        & _within(F.col("n") - lacking("s", "t"), similar) & _within(F.col("n2") - lacking("t", "s"), similar)
+        & F.arrays_overlap("b", "b2") & (F.array_min(F.array_intersect("a", "a2")) == F.col("key"))).select("node", "node2")
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SKETCH, bool)
+    bits[(own % np.uint64(SKETCH)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def _linkable(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Classes that can be linked with another one of ``rest``, with the shingles that another one has, too, and counts by part."""
+    """Classes that can be linked with another one of ``rest``, with the number of shingles that another one has, too, and the sketch."""
     own = rest.join(sets, "node")
     alone = (own.select("node", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("k"), F.min("node").alias("node"))
              .filter("k = 1").groupBy("node").agg(F.count("*").alias("alone")))
     size = F.size("members")
     return staged(own.join(alone, "node", "left").withColumn("usable", size - F.coalesce("alone", F.lit(0)))
-                  .filter(100 * F.col("usable") >= similar * size).select("node", "c", "usable", "parts"))
+                  .filter(100 * F.col("usable") >= similar * size).select("node", "c", "usable", "sketch"))
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -190,18 +208,18 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                nodes, found, parts = [], [], []
+                nodes, found, sketches = [], [], []
                 part = batch.slice(at, 64)
                 for node, value, set_id in zip(*(part.column(k).to_pylist() for k in range(3))):
                     own = shingles(value, words)
                     if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == set_id:
                         nodes.append(node), found.append(own.view(np.int64))
-                        parts.append(np.bincount((own % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32))
-                yield pa.record_batch([pa.array(nodes, part.schema.field(0).type), pa.array(found, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
-                                      names=["node", "members", "parts"])
+                        sketches.append(_sketch(own))
+                yield pa.record_batch([pa.array(nodes, part.schema.field(0).type), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                                      names=["node", "members", "sketch"])
 
     needed = texts.join(wanted, (F.col("_hash") == F.col("hash")) & F.col("_id").eqNullSafe(F.col("name"))).select("node", "_text", "set_id")
-    return needed.mapInArrow(collect, "node long, members array<bigint>, parts array<int>").dropDuplicates(["node"])
+    return needed.mapInArrow(collect, "node long, members array<bigint>, sketch array<bigint>").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:

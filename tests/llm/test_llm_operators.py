@@ -230,6 +230,49 @@ def test_near_duplicates_equal_brute_force(spark, docs, tables, nothing):
     assert minhash_dedup.near_duplicates(nothing).collect() == []
 
 
+def test_classes_beside_a_large_component_are_paired_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+
+    def text(k, changed, place):
+        return " ".join(f"x{k}y{i}" if place <= i < place + changed else w for i, w in enumerate(base))
+
+    # A chain of near copies, texts that resemble all of them below the threshold, and two of these linked with each other alone.
+    rows = [(i, text(i, 3, i % 40)) for i in range(40)] + [(100 + i, text(i, 22, 50 + i)) for i in range(12)]
+    rows += [(300, text(0, 22, 50) + " more"), (301, " ".join(rng.permutation(base)))]
+    sets = {i: frozenset(minhash_dedup.shingles(t, 2).tolist()) for i, t in rows}
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    formed, apart = [], minhash_dedup._apart
+    monkeypatch.setattr(minhash_dedup, "_apart", lambda rest, s: formed.append(apart(rest, s)) or formed[-1])
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2))
+    for i, a in sets.items():
+        seen, stack = {i}, [i]
+        while stack:
+            here = sets[stack.pop()]
+            stack += [j for j, b in sets.items() if j not in seen and similar(here, b) and not seen.add(j)]
+        assert got[i].component_id == min(seen)
+    assert formed
+    # All that can be linked is formed, and little else: neither pairs within a component nor such as sketches rule out.
+    near = lambda k, changed, place: minhash_dedup.shingles(text(k, changed, place), 2)
+    own = {0: (0, near(0, 3, 0)), 1: (0, near(1, 3, 9)), 2: (0, near(2, 3, 20)), 3: (3, near(3, 5, 30)), 4: (4, near(4, 60, 30))}
+    rest = spark.createDataFrame([(k, len(o), [7], [8], c, len(o), minhash_dedup._sketch(o).tolist()) for k, (c, o) in own.items()],
+                                 "node long, n long, a array<long>, b array<long>, c long, usable long, sketch array<long>")
+    pairs = [tuple(sorted(p)) for p in apart(rest, 80).collect()]
+    assert sorted(pairs) == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
+    from terrace.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "staged", lambda df, f=module.staged: rounds.append(f(df)) or rounds[-1])
+    star = spark.createDataFrame([(1, i) for i in range(2, 30)], "u int, v int")
+    assert {tuple(r) for r in components(star).collect()} == {(i, 1) for i in range(1, 30)} and len(rounds) == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "u int, v int")
+    assert {tuple(r) for r in components(path).collect()} == {(i, 1) for i in range(1, 41)}
+    assert components(spark.createDataFrame([], "u int, v int")).collect() == []
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 40), (None, 4), (40, 41), (7, 9)], "u int, v int")
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (40, 1), (41, 1), (7, 7), (8, 7), (9, 7)}
