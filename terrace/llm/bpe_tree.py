@@ -17,7 +17,7 @@ Decoding joins the bytes of the ids up the same tree.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -27,7 +27,9 @@ from terrace.llm.common import Encoder, text_of
 
 #: Characters of a leaf, and of the first window on each side of a seam.
 LEAF, WINDOW = 64, 16
-_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
+_POINT = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
+#: The first safe point of a stretch, and the last one.
+_SAFE, _LAST_SAFE = regex.compile(_POINT), regex.compile(f"(?r){_POINT}")
 
 
 def multi_vocabulary() -> dict:
@@ -44,32 +46,48 @@ class Tree:
         self.bytes_of = [b""] * (max(encoder.ranks.values()) + 1)
         for value, rank in encoder.ranks.items():
             self.bytes_of[rank] = value
+        self.sizes = list(map(len, self.bytes_of))
         self.matches = regex.compile(encoder.exact._pat_str)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; empty for an empty one."""
-        return self._node(text, 0, len(text))
+        return self._node(text, 0, len(text), self.encoder.for_parts(text))
 
-    def _node(self, text: str, start: int, end: int) -> list[int]:
+    def _node(self, text: str, start: int, end: int, ids_of: Callable[[str], list[int]]) -> list[int]:
         if end - start <= self.leaf:
-            return self.encoder.ids(text[start:end])
+            return ids_of(text[start:end])
         middle = (start + end) // 2
-        return self._join(text, start, middle, end, self._node(text, start, middle), self._node(text, middle, end))
+        return self._join(text, start, middle, end, self._node(text, start, middle, ids_of), self._node(text, middle, end, ids_of), ids_of)
 
-    def _join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
+    def _join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int], ids_of: Callable[[str], list[int]]) -> list[int]:
+        """The ids of both parts; ``left`` is taken over."""
         a, b = self._safe_left(text, start, middle), self._safe_right(text, middle, end)
-        keep = self._count(reversed(left), len(text[a:middle].encode()))
-        drop = self._count(iter(right), len(text[middle:b].encode()))
+        sizes, keep, drop = self.sizes, len(left), 0
+        size = len(text[a:middle].encode())
+        while size > 0:
+            keep -= 1
+            size -= sizes[left[keep]]
+        rest = len(text[middle:b].encode())
+        while rest > 0:
+            rest -= sizes[right[drop]]
+            drop += 1
+        assert size == rest == 0, "a safe point lies inside an id"
         # The window is read up to the next safe point, so its last match cannot look beyond it.
-        return left[:len(left) - keep] + self._window(text[a:b]) + right[drop:]
+        left[keep:] = self._window(text[a:b], ids_of)
+        left += right[drop:]
+        return left
 
     def _safe_left(self, text: str, start: int, middle: int) -> int:
         width = self.window
         while True:
             low = max(start, middle - width)
-            found = [m.start() for m in _SAFE.finditer(text, low, middle) if low < m.start() < middle - 1]
-            if found:
-                return found[-1]
+            # A space behind a character that is none is the commonest safe point, and the quickest to find.
+            at = text.rfind(" ", low + 1, middle - 1)
+            if at > 0 and not text[at - 1].isspace():
+                return at
+            found = _LAST_SAFE.search(text, low, middle - 1)
+            if found and found.start() > low:
+                return found.start()
             if low == start:
                 return start
             width *= 2
@@ -78,24 +96,19 @@ class Tree:
         width = self.window
         while True:
             high = min(end, middle + width)
-            found = next((m.start() for m in _SAFE.finditer(text, middle, high) if middle + 1 < m.start() < high), None)
-            if found is not None:
-                return found
+            at = text.find(" ", middle + 2, high)
+            if at > 0 and not text[at - 1].isspace():
+                return at
+            found = _SAFE.search(text, middle + 2, high)
+            if found:
+                return found.start()
             if high == end:
                 return end
             width *= 2
 
-    def _count(self, ids: Iterator[int], size: int) -> int:
-        n = 0
-        while size > 0:
-            size -= len(self.bytes_of[next(ids)])
-            n += 1
-        assert size == 0, "a safe point lies inside an id"
-        return n
-
-    def _window(self, text: str) -> list[int]:
+    def _window(self, text: str, ids_of: Callable[[str], list[int]]) -> list[int]:
         if len(text) <= max(self.leaf, 4 * self.window):
-            return self.encoder.ids(text)
+            return ids_of(text)
         out: list[int] = []
         for match in self.matches.findall(text):
             out += self._piece(match.encode()) if len(match) > self.leaf else self.encoder.exact._encode_single_piece(match.encode())

@@ -122,6 +122,12 @@ class Encoder:
         encoding = self.choose(text)
         return encoding.encode(text, allowed_special="all") if self.special else encoding.encode_ordinary(text)
 
+    def for_parts(self, text: str) -> Callable[[str], list[int]]:
+        """What gives the ids of any part of a text; where the look-ahead matters nowhere in the text, parts are not searched for it."""
+        if self.special or _RUN.search(text):
+            return self.ids
+        return self.plain.encode_ordinary
+
     def array(self, text: str):
         """Ids as a numpy array of unsigned 32-bit numbers."""
         return self.choose(text).encode_to_numpy(text, allowed_special="all")

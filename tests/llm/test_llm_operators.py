@@ -94,6 +94,17 @@ def test_tree_equals_the_library_and_round_trips(docs, nothing):
     assert bpe_tree.encode_decode(nothing).collect() == []
 
 
+def test_texts_without_runs_of_white_space_are_looked_at_once(monkeypatch):
+    encoder = Encoder.of(**bpe_tree.multi_vocabulary())
+    seen, choose = [], Encoder.choose
+    monkeypatch.setattr(Encoder, "choose", lambda self, text: seen.append(text) or choose(self, text))
+    tree = bpe_tree.Tree(encoder)
+    for text in ("Some words, 12345 numbers and don't stop " * 40, "a\x1c b\x1f\u3000c" * 90, "x²Ⅷ9é中 " * 90):
+        assert tree.encode(text) == encoder.exact.encode_ordinary(text)
+    assert not any(t.startswith("Some") or "words" in t for t in seen)
+    assert tree.encode("two  spaces\n\n here " * 40) == encoder.exact.encode_ordinary("two  spaces\n\n here " * 40)
+
+
 def test_packing_is_gapless_and_complete(docs, tables, nothing):
     for frame, capacity in ((docs, 64), (tables["documents"], 2048)):
         rows = packing.pack(frame, capacity=capacity, with_ids=True).collect()
