@@ -173,8 +173,8 @@ def _apart(rest: DataFrame, similar: int) -> DataFrame:
     rows only those outside of its largest component are joined with all, so the pairs within one large component are never formed."""
     words = range(SKETCH // 64)
     one = rest.select(F.explode("a").alias("key"), *(c for c in rest.columns if c != "sketch"), *(F.col("sketch")[i].alias(f"s{i}") for i in words))
-    major = one.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most")).select("key", F.col("most.c").alias("major"))
-    # Staged, so that adaptive execution can split the join that follows at a frequent key.
+    major = staged(one.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most")).select("key", F.col("most.c").alias("major")))
+    # Both staged, so that adaptive execution can split the joins at a frequent key.
     minor = staged(one.join(major, "key").filter("c <> major"))
     two = one.select("key", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "a", "b", "c", "usable")), *(F.col(f"s{i}").alias(f"t{i}") for i in words))
     # Each bit that only one of two sketches has stands for a shingle at least that the other set lacks.
